@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folkmoot.llm import fertility, gumbel, linededup, sharding, tokencount, toxicity
+from folkmoot.llm import decontam, fertility, gumbel, linededup, sharding, tokencount, toxicity
 from folkmoot.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_plan(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), decontam.indexes(table(spark, sf_dir, "benchmark")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.fertility_rules(table(spark, sf_dir, "documents"))
 
