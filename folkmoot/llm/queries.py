@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folkmoot.llm import decontam, fertility, gumbel, linededup, neardup, sharding, tokencount, toxicity
+from folkmoot.llm import decontam, fertility, gumbel, linededup, neardup, pii, preference, sharding, tokencount, toxicity
 from folkmoot.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gumbel.encode_samples(table(spark, sf_dir, "documents"))
 
 
+def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.preference_format(*preference.stale_reply(table(spark, sf_dir, "conversations")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.mask_private(table(spark, sf_dir, "documents"), pii.fit())
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_plan(table(spark, sf_dir, "documents"))
 
@@ -50,5 +58,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": linededup.line_dedup_sql(),
+        "op3_preference": preference.preference_sql(),
         "op7_sharding": sharding.shard_plan_sql(),
     }
