@@ -51,13 +51,15 @@ def line_dedup(
     text_col: str = "text",
     site_col: str = "source",
     counts: bool = False,
+    length_col: str | None = None,
 ) -> DataFrame:
     """The rows of ``df`` with boilerplate lines cut from the text.
 
     Lines are compared after trimming spaces; blank lines are never counted or
     cut. A null text stays null; an empty text stays empty; a null site counts
     for no line. Rows that repeat are cut alike, and a repeated row adds no site.
-    All columns and all rows are kept; with ``counts`` the result is instead
+    All columns and all rows are kept, and ``length_col``, where one is named, is
+    set to the length of texts that were cut; with ``counts`` the result is instead
     (doc_id, text, n_lines, n_removed). The band is about nine standard errors
     of a sketch with 2**12 registers, whose error is 1.04 / sqrt(2**lg_k).
     """
@@ -88,7 +90,13 @@ def line_dedup(
     joined = joined.withColumn("kept", F.when(over, F.lit(None)).otherwise(F.col("kept")))
     clean = F.when(F.col("kept").isNull(), text).otherwise(F.array_join("kept", "\n"))
     if not counts:
-        return took.replace(joined, text_col, clean)
+        if length_col is None:
+            return took.replace(joined, text_col, clean)
+        joined = joined.withColumn("clean", clean)
+        at = Intake(df, length_col)._at[length_col]
+        kind = took.rows.schema[at].dataType
+        joined = joined.withColumn(at, F.when(F.col("kept").isNull(), F.col(at)).otherwise(F.length("clean").cast(kind)))
+        return took.replace(joined, text_col, F.col("clean"))
     n = F.size(whole)
     return joined.select(
         took[id_col].alias("doc_id"),

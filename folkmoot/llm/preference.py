@@ -109,7 +109,7 @@ y AS (SELECT *, coalesce(sum(length(sa)) FILTER (i > n) OVER w, 0) AS qa, coales
 SELECT conv_id AS pair_id, CAST(any_value(n) AS INT) AS n_prompt,
        coalesce(string_agg(sa, '' ORDER BY i) FILTER (i <= n), '') AS prompt,
        coalesce(string_agg(sa, '' ORDER BY i) FILTER (i > n), '') AS chosen,
-       coalesce(list({{'start': CAST(qa + head AS INT), 'stop': CAST(qa + length(sa) - 1 AS INT)}} ORDER BY i) FILTER (i > n AND role = 'assistant'), []) AS chosen_mask,
+       coalesce(string_agg((qa + head) || ':' || (qa + length(sa) - 1), ' ' ORDER BY i) FILTER (i > n AND role = 'assistant'), '') AS chosen_mask,
        coalesce(string_agg(sb, '' ORDER BY i) FILTER (i > n), '') AS rejected,
-       coalesce(list({{'start': CAST(qb + head AS INT), 'stop': CAST(qb + length(sb) - 1 AS INT)}} ORDER BY i) FILTER (i > n AND role = 'assistant'), []) AS rejected_mask
+       coalesce(string_agg((qb + head) || ':' || (qb + length(sb) - 1), ' ' ORDER BY i) FILTER (i > n AND role = 'assistant'), '') AS rejected_mask
 FROM y GROUP BY conv_id"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folkmoot.llm import decontam, fertility, gumbel, linededup, neardup, pii, preference, sharding, tokencount, toxicity
 from folkmoot.llm.common import table
@@ -19,7 +20,10 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.preference_format(*preference.stale_reply(table(spark, sf_dir, "conversations")))
+    made = preference.preference_format(*preference.stale_reply(table(spark, sf_dir, "conversations")))
+    # Ranges as text, which reads alike from any engine.
+    spelled = {c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"], x["stop"])), " ") for c in ("chosen_mask", "rejected_mask")}
+    return made.withColumns(spelled)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
