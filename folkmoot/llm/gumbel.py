@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -35,7 +36,7 @@ from folkmoot.llm.common import TOKENIZERS, Intake, vocabulary
 
 SPACE = "▁"
 LITERAL = "\U0010ffff"  # stands for a U+2581 that the text itself holds
-ARCS_KEPT = 6_000_000
+ARCS_KEPT = 8_000_000
 PLAIN, GROWTH = 100, 40.0
 M64 = (1 << 64) - 1
 
@@ -79,7 +80,8 @@ class Pieces:
         pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         if any(b == SPACE and a != SPACE for a, b in pairs) or any("\n" in p for p in self.ids):
             return None
-        marks = {c for p in self.ids for c in p if not c.isalnum() and c not in (SPACE, "\n")}
+        # ASCII marks suffice: a cut that is left out costs no more than a longer chunk.
+        marks = {c for p in self.ids for c in p if c.isascii() and not c.isalnum() and c != "\n"}
         while bad := {b for a, b in pairs if b in marks and a not in marks and a != SPACE}:
             marks -= bad
         s = re.escape("".join(sorted(marks)))
@@ -115,15 +117,16 @@ class Pieces:
         return self.code(char), self.byte_weight**b * GROWTH
 
     def code(self, char: str) -> int:
-        """Of an unknown character, below 0."""
-        return -1 - ord(SPACE if char == LITERAL else char)
-
-    def expand(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids with codes of unknown characters replaced by their byte tokens; and how many each gave."""
+        """Of an unknown character: its byte token if it is one byte, else a code below 0."""
+        n = ord(SPACE if char == LITERAL else char)
+        return self.byte_id[n] if n < 128 else -1 - n
+
+    def expand(self, ids: np.ndarray) -> np.ndarray:
+        """Ids with codes of unknown characters replaced by their byte tokens."""
+        if not len(ids) or ids.min() >= 0:
+            return ids
         count = np.ones(len(ids), dtype=np.int64)
         at = np.flatnonzero(ids < 0)
-        if not len(at):
-            return ids, count
         spelled = [[self.byte_id[b] for b in chr(-1 - c).encode("utf-8", "surrogatepass")] for c in ids[at].tolist()]
         count[at] = [len(x) for x in spelled]
         out = np.repeat(ids, count)
@@ -131,7 +134,7 @@ class Pieces:
         for k in range(4):
             has = [i for i, x in enumerate(spelled) if len(x) > k]
             out[first[has] + k] = [spelled[i][k] for i in has]
-        return out, count
+        return out
 
     def decode(self, ids) -> str:
         """The text of ids: pieces joined, the space put in front taken off, byte tokens read as UTF-8."""
@@ -142,7 +145,7 @@ class Pieces:
 def _grown(a: np.ndarray, need: int) -> np.ndarray:
     if need <= len(a):
         return a
-    out = np.empty(max(need, 2 * len(a)), dtype=a.dtype)
+    out = np.empty(max(need, len(a) + len(a) // 2), dtype=a.dtype)
     out[: len(a)] = a
     return out
 
@@ -157,12 +160,12 @@ class Lattices:
     def clear(self) -> None:
         self.last: dict[str, int] = {}  # a chunk's final state
         self.n_states = self.n_arcs = 0
-        self.first = np.zeros(1 << 12, dtype=np.int64)  # of a state: its first arc
-        self.cum = np.zeros(1 << 12)  # of an arc: its probability at its state and those before it
+        self.first = np.zeros(1 << 12, dtype=np.int32)  # of a state: its first arc
+        self.cum = np.zeros(1 << 12, dtype=np.float32)  # of an arc: its probability at its state and those before it
         self.prob = np.zeros(1 << 12)
-        self.rest = np.zeros(1 << 12)  # of an arc: what its siblings have together, 0 if it has none
-        self.prev = np.zeros(1 << 12, dtype=np.int64)  # of an arc: the state it comes from; -1 at the chunk's start
-        self.id = np.zeros(1 << 12, dtype=np.int64)
+        self.rest = np.zeros(1 << 12, dtype=np.float32)  # of an arc: what its siblings have together, 0 if it has none
+        self.prev = np.zeros(1 << 12, dtype=np.int32)  # of an arc: the state it comes from; -1 at the chunk's start
+        self.id = np.zeros(1 << 12, dtype=np.int32)
 
     def add(self, chunks: list[str]) -> None:
         """Append chunks' lattices: arcs from left to right chunk by chunk, then put in order of the state they enter."""
@@ -243,10 +246,12 @@ class Lattices:
     def states(self, chunks: list[str]) -> np.ndarray:
         """Final states of chunks, adding those not known yet."""
         known = self.last
-        new = {c for c in chunks if c not in known}
-        if new:
-            self.add(sorted(new))
-        return np.fromiter(map(known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        out = np.fromiter(map(known.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
+        missing = np.flatnonzero(out < 0).tolist()
+        if missing:
+            self.add(sorted({chunks[i] for i in missing}))
+            out[missing] = [known[chunks[i]] for i in missing]
+        return out
 
     def walk(self, state: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sample backwards from every state to its chunk's start.
@@ -261,14 +266,14 @@ class Lattices:
         while len(active):
             z = z + np.uint64(0x9E3779B97F4A7C15)
             u = uniforms(z)
-            arc = self.first[s]
+            arc = self.first[s].astype(np.int64)
             over = np.flatnonzero(u > self.cum[arc])
             while len(over):
                 arc[over] += 1
                 over = over[u[over] > self.cum[arc[over]]]
             rounds.append((active, arc))
             count[active] += 1
-            s = self.prev[arc]
+            s = self.prev[arc].astype(np.int64)
             more = s >= 0
             active, s, z = active[more], s[more], z[more]
         stop = np.cumsum(count)
@@ -333,7 +338,7 @@ class Search:
         """Put back the segmentations that leave ``sample`` first at one of the places lo..hi."""
         arcs, before, _ = self.samples[sample]
         if excluded is None:
-            mass = np.exp(before[lo:hi]) * self.lat.rest[arcs[lo:hi]]
+            mass = np.exp(before[lo:hi]) * self.lat.rest[arcs[lo:hi]].astype(np.float64)
         else:
             lat = self.lat
             b = np.array([i for i in self.siblings(int(arcs[lo])) if i not in excluded], dtype=np.int64)
@@ -344,7 +349,7 @@ class Search:
 
     def siblings(self, arc: int) -> range:
         lat = self.lat
-        s = int(np.searchsorted(lat.first[: lat.n_states], arc, side="right")) - 1
+        s = int(np.searchsorted(lat.first[: lat.n_states], np.int32(arc), side="right")) - 1
         return range(int(lat.first[s]), int(lat.first[s + 1]) if s + 1 < lat.n_states else lat.n_arcs)
 
     def took(self, arcs: np.ndarray, x: float, fixed: int) -> None:
@@ -442,7 +447,7 @@ class Sampler:
             left = s.left()
             rows = []
             for arcs, before, x in s.samples:
-                ids, _ = self.pieces.expand(lat.id[arcs[::-1]])
+                ids = self.pieces.expand(lat.id[arcs[::-1]])
                 lp = float(before[-1])
                 rows.append((ids, lp, -math.log(x) if x > 0 else math.inf, log_inclusion(lp, left)))
             if not n:
@@ -480,7 +485,7 @@ def encode_samples(
     folder: str = TOKENIZERS,
     id_col: str = "doc_id",
     text_col: str = "text",
-    chars: int = 1_000_000,
+    chars: int = 600_000,
 ) -> DataFrame:
     """(doc_id, rank, ids, logprob, perturbed, log_inclusion, exact): up to ``k`` distinct segmentations of every row.
 

@@ -1,0 +1,296 @@
+"""Operators against brute force, round trips and held-out rows."""
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from folkmoot.llm import decontam, fertility, gumbel, linededup, neardup, pii, preference, queries, sharding, tokencount, toxicity
+from folkmoot.llm.common import byte_ranks, pretoken_pattern, vocabulary
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return duckdb.connect().execute(f"SELECT doc_id, text, source FROM '{SF}/documents.parquet' ORDER BY 1").fetchall()
+
+
+def test_hll_near_threshold_is_exact(spark):
+    random.seed(1)
+    rows, want = [], {}
+    for n in range(60):
+        sites = random.sample(range(40), random.choice([8, 9, 10, 11, 12, 30]))
+        want[f"line {n}"] = len(sites) >= 10
+        rows += [(len(rows) + k, f"own words {n} {s} that are long enough to stay here\nline {n}", f"site{s}", None) for k, s in enumerate(sites)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for r in linededup.line_dedup(df).collect():
+        line = f"line {r['text'].split()[2]}"
+        assert (line in r["text"].split("\n")) != want[line]
+
+
+def test_copied_pages_stay_whole(spark):
+    rows = [(i, "one line\nsecond line of the page", f"s{i}") for i in range(12)]
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r["text"] for r in got.collect()} == {"one line\nsecond line of the page"}
+
+
+def segmentations(pieces, text):
+    per = []
+    for chunk in pieces.split(text):
+        into = pieces.arcs(chunk)
+
+        def rec(j):
+            if not j:
+                yield (), 1.0
+            for i, p, w in into[j] if j else ():
+                for a, q in rec(i):
+                    yield (*a, p), q * w
+
+        per.append(list(rec(len(chunk))))
+    out = [((), 1.0)]
+    for options in per:
+        out = [(a + b, p * q) for a, p in out for b, q in options]
+    z = math.fsum(p for _, p in out)
+    return {a: p / z for a, p in out}
+
+
+def test_gumbel_top_k_follows_sampling_without_replacement():
+    pieces = gumbel.Pieces(vocabulary("piece_bpe_32k.model"), theta=0.3)
+    text, n = "that it", 6000
+    p = segmentations(pieces, text)
+    first, second, weight = Counter(), Counter(), Counter()
+    for a, b in gumbel.Sampler(pieces, 2, 3).batch(list(range(n)), [text] * n):
+        assert tuple(a[0]) != tuple(b[0]) and a[2] > b[2]
+        assert a[1] == pytest.approx(math.log(p[tuple(a[0].tolist())]), abs=1e-6)
+        first[tuple(a[0].tolist())] += 1
+        second[tuple(b[0].tolist())] += 1
+        for x in (a, b):
+            weight[tuple(x[0].tolist())] += math.exp(-x[3])
+    for a in sorted(p, key=p.get, reverse=True)[:4]:
+        assert first[a] / n == pytest.approx(p[a], abs=0.025)
+        assert second[a] / n == pytest.approx(sum(p[b] * p[a] / (1 - p[b]) for b in p if b != a), abs=0.025)
+        assert weight[a] / n == pytest.approx(1, abs=0.15)
+
+
+def test_samples_end_when_segmentations_do():
+    pieces = gumbel.Pieces(vocabulary("piece_bpe_32k.model"))
+    p = segmentations(pieces, "it")
+    got = gumbel.Sampler(pieces, 50, 1).batch([5], ["it"])[0]
+    assert {tuple(x[0].tolist()) for x in got} == set(p) and all(x[3] == 0.0 for x in got)
+
+
+def test_long_chunks_agree_with_short_ones(monkeypatch):
+    pieces = gumbel.Pieces(vocabulary("piece_bpe_32k.model"))
+    for chunk in ("▁hello", "▁thehtthe", "▁日本ab"):
+        a, b = gumbel.Lattices(pieces), gumbel.Lattices(pieces)
+        a.add([chunk])
+        monkeypatch.setattr(gumbel, "PLAIN", 0)
+        b.add([chunk])
+        monkeypatch.undo()
+        assert a.n_arcs == b.n_arcs
+        assert np.allclose(np.sort(a.prob[: a.n_arcs]), np.sort(b.prob[: b.n_arcs]))
+
+
+def test_decoding_gives_the_text_back(spark, docs):
+    df = spark.createDataFrame([(d, t) for d, t, _ in docs], "doc_id long, text string")
+    got = gumbel.decode_ids(gumbel.encode_samples(df, k=2), out_col="back").select("doc_id", "back", "exact").collect()
+    want = {d: t for d, t, _ in docs}
+    assert all(r["back"] == want[r["doc_id"]] and r["exact"] for r in got)
+
+
+def test_preference_prefix_and_mask(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    a = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "good"), (1, 3, "user", "more"), (1, 4, "assistant", "ok")], schema)
+    b = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "bad")], schema)
+    r = preference.preference_format(a, b).first()
+    assert r["n_prompt"] == 2 and r["prompt"] == "<|im_start|>system\ns<|im_end|>\n<|im_start|>user\nq<|im_end|>\n"
+    assert [r["chosen"][m["start"] : m["stop"]] for m in r["chosen_mask"]] == ["good<|im_end|>", "ok<|im_end|>"]
+    assert [r["rejected"][m["start"] : m["stop"]] for m in r["rejected_mask"]] == ["bad<|im_end|>"]
+
+
+def test_counts_equal_the_tokenizers(docs):
+    import tiktoken
+
+    ranks = byte_ranks(vocabulary("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=pretoken_pattern(), mergeable_ranks=ranks, special_tokens={})
+    findall, counts = tokencount.counter("byte_bpe_50k.tiktoken", "/opt/tokenizers")
+    for t in [t for _, t, _ in docs[:80]] + ["a" * 3000, "日本語" * 40, "é" * 99, " " * 50]:
+        assert sum(map(counts.__getitem__, findall(t))) == len(enc.encode_ordinary(t))
+
+
+def test_near_duplicates_against_all_pairs(spark, docs):
+    random.seed(4)
+    rows = [(d, t) for d, t, _ in docs]
+    for d, t in [r for r in rows if r[1] and len(r[1]) > 600][:40]:
+        words = t.split(" ")
+        for i in random.sample(range(len(words)), max(1, len(words) // 40)):
+            words[i] = "changed"
+        rows.append((d + 10_000, " ".join(words)))
+    got = {r["doc_id"]: r["group_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    f = neardup.fingerprints([t for _, t in rows])
+    bits = np.unpackbits(f.view(np.uint8).reshape(len(f), 16), axis=1).astype(int)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if (bits[i] != bits[j]).sum() <= neardup.DISTANCE]
+    for i, j in pairs:
+        root[find(i)] = find(j)
+    together = sum(got[rows[i][0]] == got[rows[j][0]] for i, j in pairs)
+    assert len(pairs) > 40 and together >= 0.9 * len(pairs)
+    groups = defaultdict(set)
+    for i, (d, _) in enumerate(rows):
+        groups[got[d]].add(find(i))
+    assert all(len(x) == 1 for x in groups.values())
+
+
+def test_manhattan_is_a_lower_bound(spark):
+    random.seed(2)
+    rows = [tuple(random.getrandbits(64) - (1 << 63) for _ in range(2)) for _ in range(300)]
+    for r in spark.createDataFrame(rows, "a long, b long").selectExpr("a", "b", "bit_count(a ^ b) h").withColumn("m", neardup.F.bit_count(neardup.embedded(neardup.F.col("a")).bitwiseXOR(neardup.embedded(neardup.F.col("b"))))).collect():
+        count = lambda x: [bin((x >> k) & 3).count("1") for k in range(0, 64, 2)]
+        assert r["m"] == sum(abs(x - y) for x, y in zip(count(r["a"] % 2**64), count(r["b"] % 2**64))) <= r["h"]
+
+
+def best_by_force(crf, r, scores):
+    """The best score of any segmentation, by enumerating all of them."""
+    by = defaultdict(list)
+    for c, (i, j) in enumerate(r.spans):
+        by[i].append((j, c))
+
+    def rec(i, y):
+        if i == len(r.kinds):
+            return 0.0
+        got = crf.follow[y, 0] + crf.token[r.kinds[i]] + rec(i + 1, 0)
+        for j, c in by[i]:
+            for k in range(1, len(pii.KINDS)):
+                got = max(got, crf.follow[y, k] + scores[c, k] + rec(j, k))
+        return got
+
+    return rec(0, 0)
+
+
+def test_decoding_is_the_best_segmentation():
+    crf = pii.fit(sentences=40, epochs=2)
+    for text in ("a 12 (34) b", "x 1.2@c.de 9", "+1 (22) 3-4"):
+        r = pii.Region(text, 0, len(text))
+        s = crf.scores(r.features)
+        total, y, i = 0.0, 0, 0
+        found = {r.at.index(a): (r.at.index(b), k) for a, b, k, _ in crf.decode(r, s)}
+        where = {span: c for c, span in enumerate(r.spans)}
+        while i < len(r.kinds):
+            j, k = found.get(i, (i + 1, 0))
+            total += crf.follow[y, k] + (s[where[i, j], k] if k else crf.token[r.kinds[i]])
+            i, y = j, k
+        assert total == pytest.approx(best_by_force(crf, r, s))
+
+
+def test_private_data_held_out():
+    crf, rng = pii.fit(), random.Random(77)
+    right = true = wrong = 0
+    for _ in range(150):
+        text, spans = pii.sentence(rng)
+        got = {(a, b, y) for a, b, y, _ in pii.find(crf, [text])[0]}
+        true, right, wrong = true + len(spans), right + len(got & set(spans)), wrong + len(got - set(spans))
+    assert right > 0.88 * true and wrong < 0.06 * true
+
+
+def test_shards_match_the_mixture(spark):
+    df = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 10 < 7 THEN 'a' WHEN id % 10 < 9 THEN 'b' ELSE 'c' END AS source")
+    got = sharding.shard_plan(df, shards=8, seed=1).groupBy("shard").pivot("source", ["a", "b", "c"]).count().collect()
+    assert len(got) == 8
+    for r in got:
+        assert abs(r["a"] - 350) <= 1 and abs(r["b"] - 100) <= 1 and abs(r["c"] - 50) <= 1
+
+
+def test_wand_retrieves_all_above_threshold(docs):
+    items = duckdb.connect().execute(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
+    stats = decontam.Statistics()
+    for _, t in items:
+        stats.add(t)
+    for threshold in (0.25, 0.6):
+        index = decontam.Index(items, stats, threshold)
+        words = [decontam.words_of(t) for _, t, _ in docs]
+        for w, hits in zip(words, index.search(words)):
+            got = {(i, f) for i, f, _ in hits}
+            for first in range(0, max(1, -(-len(w) // index.span) - 1) * index.span, index.span):
+                held = set(w[first : first + 2 * index.span])
+                for i, weights in enumerate(index.weights):
+                    assert (sum(x for t, x in weights.items() if t in held) >= threshold - 1e-9) == ((i, first) in got)
+
+
+def test_split_indexes_find_the_same(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    one, many = decontam.indexes(items), decontam.indexes(items, max_chars=2000)
+    assert len(many) > 2
+    rows = lambda found: {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, found).collect()}
+    assert rows(one) == rows(many) and rows(one)
+
+
+def test_block_entropy_by_hand():
+    random.seed(6)
+    for n in (5, 128, 300):
+        ids = [random.randrange(9) for _ in range(n)]
+        blocks = [ids[i : i + 128] for i in range(0, n - n % 128, 128)] + ([ids[-128:]] if n > 128 and n % 128 else [])
+        want = np.mean([-sum(c / 128 * math.log2(c / 128) for c in Counter(b).values()) / 7 for b in blocks]) if blocks else math.nan
+        assert fertility.block_entropies([np.array(ids)])[0] == pytest.approx(want, nan_ok=True)
+
+
+def test_fertility_keeps_prose_and_rejects_noise(spark):
+    d = "/root/testdata/sf0.01"
+    got = fertility.fertility_rules(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
+    good, bad = [r for r in got if r["quality"] == 1], [r for r in got if r["quality"] == 0]
+    assert sum(r["keep"] for r in good) >= 0.99 * len(good) and sum(not r["keep"] for r in bad) >= 0.4 * len(bad)
+
+
+def test_toxicity_on_held_out_rows_and_misspellings():
+    d = "/root/testdata/sf0.1"
+    rows = duckdb.connect().execute(f"SELECT text, toxic FROM '{d}/documents.parquet' JOIN '{d}/labels.parquet' USING (doc_id) ORDER BY md5(doc_id::VARCHAR)").fetchall()
+    toxic, clean = [r for r in rows if r[1] == 1], [r for r in rows if r[1] == 0]
+    some = toxic[:-120] + clean[:1000]
+    model = toxicity.train([t for t, _ in some], np.array([y for _, y in some]))
+    score = model.scorer()
+    assert np.mean([score(t)[0] > model.cut for t, _ in toxic[-120:]]) > 0.75
+    assert np.mean([score(t)[0] > model.cut for t, _ in clean[1000:2000]]) < 0.04
+    weights = toxicity.Weights(model.by_bucket)
+    assert min(weights["idioot"], weights["stupiid"]) > weights["the"] + 5
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    """Stages against what is planted: each decision takes effect and clean rows come through."""
+    d = SF
+    df = spark.read.parquet(f"{d}/documents.parquet")
+    at = df
+    sizes = [df.count()]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, d)
+        at.write.parquet(str(tmp_path / f"{len(sizes)}"))
+        at = spark.read.parquet(str(tmp_path / f"{len(sizes)}"))
+        assert at.columns == df.columns
+        sizes.append(at.count())
+    assert sizes[0] > sizes[1] == sizes[2] > sizes[3] >= sizes[4] > 0
+    final = {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, at, d).select("doc_id").collect()}
+    assert final == {r["doc_id"] for r in at.select("doc_id").collect()}
+    assert decontam.find_leaks(at, decontam.indexes(spark.read.parquet(f"{d}/benchmark.parquet"))).count() == 0
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, d).select("doc_id").collect()} == final
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.queries()[name](spark, SF)
+    cur = con.execute(queries.oracle_sql()[name])
+    names = [x[0] for x in cur.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(repr, cur.fetchall())) == sorted(repr(tuple(r)) for r in df.select(*names).collect())
