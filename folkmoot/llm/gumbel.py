@@ -36,7 +36,7 @@ from folkmoot.llm.common import TOKENIZERS, Intake, vocabulary
 
 SPACE = "▁"
 LITERAL = "\U0010ffff"  # stands for a U+2581 that the text itself holds
-ARCS_KEPT = 8_000_000
+ARCS_KEPT = 3_000_000
 PLAIN, GROWTH = 100, 40.0
 M64 = (1 << 64) - 1
 
@@ -485,7 +485,7 @@ def encode_samples(
     folder: str = TOKENIZERS,
     id_col: str = "doc_id",
     text_col: str = "text",
-    chars: int = 600_000,
+    chars: int = 400_000,
 ) -> DataFrame:
     """(doc_id, rank, ids, logprob, perturbed, log_inclusion, exact): up to ``k`` distinct segmentations of every row.
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from folkmoot.llm.common import TOKENIZERS, Intake, byte_ranks, pretoken_pattern, vocabulary
 
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 
 def merged_count(word: bytes, ranks: dict[bytes, int]) -> int:

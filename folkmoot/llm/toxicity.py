@@ -26,7 +26,7 @@ from folkmoot.llm.common import Intake
 
 WORD = re.compile(r"[^\W\d_]+(?:[^\W_]*[^\W\d_]+)*")
 BUCKETS = 1 << 14
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 def buckets_of(word: str, size: int = BUCKETS) -> list[int]:
