@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -346,20 +345,16 @@ NO_PURPOSE = "a an and city development for in land municipal neighbourhood of t
 
 
 def money_contexts(whole: Column) -> Column:
-    """Every amount with the 80 characters before it and the 200 after, as (raw, near, after).
+    """Every amount as (raw, near, after): near from 80 characters before its start to 30 after, after the next 200.
 
-    Lookarounds leave the context to the neighbours. Java bounds a lookbehind,
-    so the text before is captured whole and its tail taken.
+    Lookarounds capture the context and leave it to the neighbours. The
+    lookbehind takes 80 characters, or fewer from the very start.
     """
-
-    @F.pandas_udf("array<struct<raw:string,near:string,after:string>>")
-    def found(s: pd.Series) -> pd.Series:
-        import re
-
-        amount = re.compile(r"\$[\d,]+(?:\.\d+)?(?:\s*(?:million|billion))?")
-        return s.map(lambda t: [{"raw": m[0], "near": t[max(0, m.start() - 80) : m.start() + 30].lower(), "after": t[m.end() : m.end() + 200]} for m in amount.finditer(t or "")])
-
-    return found(whole)
+    p = F.lit(r"(?s)(?<=(^.{0,79}|.{80}))(\$[\d,]+(?:\.\d+)?(?:\s*(?:million|billion))?)(?=(.{0,200}))")
+    before, raw, after = (F.regexp_extract_all(whole, p, F.lit(i)) for i in (1, 2, 3))
+    zipped = F.arrays_zip(before.alias("before"), raw.alias("raw"), after.alias("after"))
+    near = lambda m: F.lower(F.concat(m["before"], F.substring(F.concat(m["raw"], m["after"]), 1, 30)))
+    return F.transform(zipped, lambda m: F.struct(m["raw"].alias("raw"), near(m).alias("near"), m["after"].alias("after")))
 
 
 def money_label(m: Column) -> Column:

@@ -163,7 +163,7 @@ def sentence_around(c: Column, start: Column, end: Column) -> Column:
 
 def split_sentences(c: Column | str, min_len: int | None = None, max_len: int | None = None) -> Column:
     """T10."""
-    parts = F.filter(F.transform(F.split(squeeze(text(c)), r"(?<=[.!?])\s+"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(squeeze(text(c)), r"(?<=[.!?])\s+"), lambda p: F.trim(p)), lambda p: p != "")
     if min_len is not None:
         parts = F.filter(parts, lambda p: F.length(p) >= min_len)
     return parts if max_len is None else F.filter(parts, lambda p: F.length(p) <= max_len)

@@ -18,7 +18,7 @@ def from_minutes(items: DataFrame, city: str = r"\w+") -> DataFrame:
     rows = items.where(~truth("is_recess") & ~is_procedural("title")).select("meeting_id", "pos", F.posexplode(F.split(clean_entities("content"), r"(?<=[.!?])\s+")).alias("at", "s"))
     rows = rows.withColumn("s", F.trim("s")).where(F.col("s").rlike(f"(?i){SPOKE}"))
     who = F.regexp_replace(F.trim(F.regexp_extract("s", rf"(?is)^(.*?){SPOKE}", 1)), ",+$", "")
-    parts = F.filter(F.transform(F.split(who, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(who, ","), lambda p: F.trim(p)), lambda p: p != "")
     rows = rows.withColumn("p", parts).where(F.size("p") > 0).withColumn("name", F.col("p")[0])
     lead = F.lower(F.regexp_extract("name", r"^(\S+)", 1))
     # An organization's parts go on as long as they begin with a capital.

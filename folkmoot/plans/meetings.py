@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folkmoot.functions.text import text
 from folkmoot.operators import intervals, rank, speakers
+from folkmoot.operators.graph import settle
 from folkmoot.schemas import ATTACHMENT, SPEAKER
 from folkmoot.sources import parse
 
@@ -16,7 +17,7 @@ def load_detail(agendas: DataFrame, postminutes: DataFrame, site: str = "") -> D
     marks = parse.bookmarks(agendas)
     rows = parse.agenda_rows(agendas).join(marks, ["meeting_id", "item_id"], "left")
     rows = rows.select("meeting_id", "pos", "item_id", "title", "section_number", F.col("start_ms").alias("time_start_ms"), F.col("end_ms").alias("time_end_ms"), F.lit(False).alias("timestamp_inherited"), F.lit(False).alias("is_recess"), F.lit("").alias("content"))
-    rows = intervals.insert_recesses(intervals.mark_brief(intervals.inherit_spans(rows)))
+    rows = settle(intervals.insert_recesses(intervals.mark_brief(intervals.inherit_spans(rows))))
     blocks, after = parse.item_blocks(agendas), parse.item_blocks(postminutes)
     files = intervals.distribute_attachments(rows, parse.attachments(blocks, site))
     filed = files.groupBy("meeting_id", "item_id").agg(F.array_sort(F.collect_list(F.struct("att_pos", "name", "url"))).alias("f"))
@@ -29,6 +30,7 @@ def load_detail(agendas: DataFrame, postminutes: DataFrame, site: str = "") -> D
         F.coalesce("is_contested", F.lit(False)).alias("is_contested"), "timestamp_inherited", "is_recess", F.lit(False).alias("scheduled"),
         F.coalesce(F.transform("f", lambda a: F.struct(a["name"].alias("name"), a["url"].alias("url"))), F.array().cast(f"array<{ATTACHMENT}>")).alias("attachments"),
     )
+    items = settle(items)
     return with_speakers(items, speakers.extract_speakers(items))
 
 
@@ -46,23 +48,25 @@ def spread_speakers(items: DataFrame) -> DataFrame:
 def with_summaries(items: DataFrame, summaries: DataFrame) -> DataFrame:
     """Items with description and chips; cached remarks are merged into the roster."""
     got = summaries.select("meeting_id", "item_id", "description", "chips", F.col("speakers").alias("_cached"))
-    rows = items.drop("description", "chips").join(got, ["meeting_id", "item_id"], "left")
+    rows = settle(items.drop("description", "chips").join(got, ["meeting_id", "item_id"], "left"))
     cached = rows.where(F.size("_cached") > 0).select("meeting_id", "pos", F.posexplode("_cached").alias("spk_pos", "s")).select("meeting_id", "pos", "spk_pos", "s.*")
     merged = intervals.merge_remarks(spread_speakers(rows), cached)
     return with_speakers(rows.drop("_cached"), merged)
 
 
 def align(items: DataFrame, segments: DataFrame) -> DataFrame:
-    """Starts corrected by the transcript; groups before stamps, as joint windows decide where speakers are looked for."""
-    rows = intervals.shift_past_recesses(intervals.correct_timestamps(items, segments), segments)
-    marked = intervals.mark_jointly_heard(rows)
-    window = intervals.group_window(marked)
-    heard = intervals.mark_heard(spread_speakers(marked), marked, segments, window)
+    """Each stage's table is read more than once by the next, so it is checkpointed between them.
+
+    Starts corrected by the transcript; groups before stamps, as joint windows decide where speakers are looked for."""
+    rows = settle(intervals.shift_past_recesses(settle(intervals.correct_timestamps(items, segments)), segments))
+    marked = settle(intervals.mark_jointly_heard(rows))
+    window = settle(intervals.group_window(marked))
+    heard = settle(intervals.mark_heard(spread_speakers(marked), marked, segments, window))
     stamped = intervals.mark_timestamps(heard, marked, segments, window)
     return intervals.mark_questions(with_speakers(marked, stamped), segments, window)
 
 
 def build(items: DataFrame, segments: DataFrame, summaries: DataFrame, topics: int = 8) -> tuple[DataFrame, DataFrame]:
     """(weighted items, topic rows with speakers beneath) of all meetings."""
-    rows = rank.mark_row_weights(align(with_summaries(items, summaries), segments))
+    rows = settle(rank.mark_row_weights(align(with_summaries(items, summaries), segments)))
     return rows, rank.speaker_rows(rank.meeting_topics(rows, topics), spread_speakers(rows))
