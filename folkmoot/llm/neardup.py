@@ -124,74 +124,65 @@ def near(a1: Column, a2: Column, b1: Column, b2: Column, distance: int) -> Colum
 
 
 def stars(points: DataFrame, masks: list[tuple[int, int]], distance: int) -> DataFrame:
-    """(u, v): points with the least point of their cell, where near."""
-    rows = cells(points, masks).withColumn("least", F.min(F.struct("f1", "f2")).over(Window.partitionBy("cell")))
-    me = F.struct("f1", "f2")
-    return rows.where((me != F.col("least")) & near(F.col("f1"), F.col("f2"), F.col("least.f1"), F.col("least.f2"), distance)).select(me.alias("u"), F.col("least").alias("v"))
+    """(u, v): ids of points with the least point of their cell, where near."""
+    least = F.min_by(F.struct("id", "f1", "f2"), "id").over(Window.partitionBy("cell"))
+    rows = cells(points, masks).withColumn("least", least)
+    return rows.where((F.col("id") != F.col("least.id")) & near(F.col("f1"), F.col("f2"), F.col("least.f1"), F.col("least.f2"), distance)).select(F.col("id").alias("u"), F.col("least.id").alias("v"))
 
 
 def pairs(points: DataFrame, masks: list[tuple[int, int]], distance: int) -> DataFrame:
-    """(u, v): labels of near points that aren't one group yet. ``points`` has f1, f2 and the label, l1 and l2."""
-    left = cells(points, masks)
-    right = left.select(F.col("cell").alias("cell_"), *[F.col(c).alias(f"{c}_") for c in points.columns])
-    other = (F.col("l1") < F.col("l1_")) | ((F.col("l1") == F.col("l1_")) & (F.col("l2") < F.col("l2_")))
-    on = (F.col("cell") == F.col("cell_")) & other & near(F.col("f1"), F.col("f2"), F.col("f1_"), F.col("f2_"), distance)
-    ends = [F.struct(F.col(a).alias("f1"), F.col(b).alias("f2")).alias(n) for a, b, n in (("l1", "l2", "u"), ("l1_", "l2_", "v"))]
-    return left.join(right, on).select(*ends)
+    """(u, v): labels of near points that aren't one group yet. ``points`` has f1, f2 and the label."""
+    left = cells(points.select("f1", "f2", "label"), masks)
+    right = left.select(*[F.col(c).alias(f"{c}_") for c in left.columns])
+    on = (F.col("cell") == F.col("cell_")) & (F.col("label") < F.col("label_")) & near(F.col("f1"), F.col("f2"), F.col("f1_"), F.col("f2_"), distance)
+    return left.join(right, on).select(F.col("label").alias("u"), F.col("label_").alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node reachable, for every node of an edge.
+    """(node, label): the least node reachable, for every node of an edge. Nodes are numbers.
 
     Labels spread along edges and then jump to their own labels' labels, so the
     rounds grow with the logarithm of a group's diameter. Each round is
     checkpointed in the shared folder.
     """
-    edges = settle(edges.distinct())
-    both = settle(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    labels = settle(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("label")))
+    both = settle(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label"))
     while True:
-        by_v = labels.select(F.col("node").alias("v"), F.col("label").alias("lv"))
-        heard = both.join(by_v, "v").groupBy(F.col("u").alias("node")).agg(F.min("lv").alias("heard"))
+        heard = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v").groupBy(F.col("u").alias("node")).agg(F.min("lv").alias("heard"))
         spread = labels.join(heard, "node").select("node", "label", F.least("label", "heard").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("label").alias("jump"))
         now = settle(spread.join(jump, "new").select("node", F.least("new", "jump").alias("label"), (F.least("new", "jump") != F.col("label")).alias("moved")))
-        moved = now.where("moved").limit(1).count()
         labels = now.select("node", "label")
-        if not moved:
+        if now.where("moved").isEmpty():
             return labels
 
 
-def relabel(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """``points`` (f1, f2) with l1 and l2: their group's label, else themselves."""
-    got = labels.select(F.col("node.f1").alias("f1"), F.col("node.f2").alias("f2"), F.col("label.f1").alias("n1"), F.col("label.f2").alias("n2"))
-    return points.join(got, ["f1", "f2"], "left").select("f1", "f2", F.coalesce("n1", "f1").alias("l1"), F.coalesce("n2", "f2").alias("l2"))
+def relabel(points: DataFrame, labels: DataFrame, by: str) -> DataFrame:
+    """``points`` with the label that the value of ``by`` has got, else that value."""
+    got = points.join(labels.select(F.col("node").alias(by), F.col("label").alias("new")), by, "left")
+    return got.select("id", "f1", "f2", F.coalesce("new", by).alias("label"))
 
 
-def group_points(points: DataFrame, distance: int = DISTANCE, design: int = DESIGN, recall: float = RECALL, star_grids: int = 6) -> DataFrame:
-    """(f1, f2, l1, l2): distinct fingerprints with their group's label."""
-    points = settle(points.select("f1", "f2").distinct())
-    k, n = shape(points.count(), design, recall)
-    masks = grids(k, n)
-    first = components(stars(points, masks[:star_grids], distance))
-    points = settle(relabel(points, first))
-    more = components(pairs(points, masks, distance))
-    labels = more.select(F.col("node.f1").alias("l1"), F.col("node.f2").alias("l2"), F.col("label.f1").alias("n1"), F.col("label.f2").alias("n2"))
-    return points.join(labels, ["l1", "l2"], "left").select("f1", "f2", F.coalesce("n1", "l1").alias("l1"), F.coalesce("n2", "l2").alias("l2"))
+def group_points(points: DataFrame, distance: int = DISTANCE, design: int = DESIGN, recall: float = RECALL) -> DataFrame:
+    """(id, f1, f2, label): distinct fingerprints, numbered, with the least number of their group."""
+    # Numbers are fixed by the checkpoint, so a lost executor can't renumber.
+    points = settle(points.select("f1", "f2").distinct().withColumn("id", F.monotonically_increasing_id()))
+    masks = grids(*shape(points.count(), design, recall))
+    points = settle(relabel(points, components(stars(points, masks, distance)), "id"))
+    return relabel(points, components(pairs(points, masks, distance)), "label")
 
 
 def _decided(df: DataFrame, id_col: str, text_col: str, distance: int) -> tuple[Intake, DataFrame]:
-    """Distinct (k1, k2) of rows with id, group's label and whether they stay."""
+    """(doc, k1, k2) of rows with their id and size and whether they stay."""
     took = Intake(df, id_col, text_col)
     text = took[text_col].cast("string")
-    rows = took.rows.where(text.isNotNull()).select(took[id_col].alias("id"), *row_key(took[id_col], took[text_col]), text.alias("text"))
+    rows = took.rows.where(text.isNotNull()).select(took[id_col].alias("doc"), *row_key(took[id_col], took[text_col]), text.alias("text"))
     printed = settle(fingerprint_rows(rows))
-    grouped = printed.join(group_points(printed, distance), ["f1", "f2"])
-    label = F.struct("l1", "l2")
-    least = grouped.groupBy("l1", "l2").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "k1", "k2")).alias("stays"), F.count(F.lit(1)).alias("size"))
-    got = grouped.join(least, ["l1", "l2"])
+    grouped = settle(printed.join(group_points(printed, distance), ["f1", "f2"]).select("doc", "k1", "k2", "label"))
+    least = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("null"), "doc", "k1", "k2")).alias("stays"), F.count(F.lit(1)).alias("size"))
+    got = grouped.join(least, "label")
     same = (F.col("k1") == F.col("stays.k1")) & (F.col("k2") == F.col("stays.k2"))
-    return took, got.select("id", "k1", "k2", F.col("stays.id").alias("group"), "size", same.alias("keep"), label.alias("label"))
+    return took, got.select("doc", "k1", "k2", F.col("stays.doc").alias("group"), "size", same.alias("keep"))
 
 
 def near_duplicates(df: DataFrame, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +195,7 @@ def near_duplicates(df: DataFrame, distance: int = DISTANCE, id_col: str = "doc_
     they can't be told apart (``drop_near_duplicates`` leaves one).
     """
     took, got = _decided(df, id_col, text_col, distance)
-    out = got.select(F.col("id").alias("doc_id"), F.col("group").alias("group_id"), "size", "keep")
+    out = got.select(F.col("doc").alias("doc_id"), F.col("group").alias("group_id"), "size", "keep")
     null = took.rows.where(took[text_col].isNull()).select(
         took[id_col].alias("doc_id"), F.lit(None).cast(out.schema["group_id"].dataType).alias("group_id"), F.lit(1).cast("long").alias("size"), F.lit(True).alias("keep")
     )
