@@ -144,7 +144,7 @@ def is_city_unit(organization: Column, city: str = r"\w+") -> Column:
 
 def is_staff_presenting(sentence: Column, name: Column, organization: Column) -> Column:
     """F10."""
-    answered = sentence.rlike(r"(?i)\b(?:answered|responded)\b[^.]{0,40}?\bquestions\s+of\s+(?:the\s+)?(?:board|committee|council)\b")
+    answered = sentence.rlike(r"(?i)\b(?:answered|responded)\b[^.]{0,40}\bquestions\s+of\s+(?:the )?(?:council|committee|board)\b")
     title = any_word(F.replace(F.concat_ws(" ", name, organization), F.lit(","), F.lit(" ")), STAFF, r"^\.+|\.+$")
     return sentence.rlike(r"(?i)\bpresented\s+the\s+(?:item|presentation|report)\b") & (answered | title)
 
@@ -153,7 +153,7 @@ def format_outcome(vote_result: Column | str, recommendation: Column | str) -> C
     """What became of an item. What was moved is read before what was carried."""
     vote, rec = text(vote_result), text(recommendation)
     v, r = F.upper(vote), F.upper(rec)
-    n = [F.regexp_extract(vote, r"\((\d+)\s+to\s+(\d+)\)", i) for i in (1, 2)]
+    n = [F.regexp_extract(vote, r"[(](\d+)\s+to\b\s*(\d+)[)]", i) for i in (1, 2)]
     tally = F.when(n[0] != "", F.concat(F.lit(" ("), n[0], F.lit("-"), n[1], F.lit(")"))).otherwise("")
     label = lambda s: F.concat(F.lit(s), tally)
     has = F.contains
@@ -164,7 +164,7 @@ def format_outcome(vote_result: Column | str, recommendation: Column | str) -> C
         .when(v.rlike("DEFERRED|TABLED"), "Deferred")
         .when(has(v, F.lit("WITHDRAWN")), "Withdrawn")
         .when(r.rlike(r"\bDEFER(?:RED)?\b|TABLED"), "Deferred")
-        .when(r.rlike(r"\bRECOMMEND(?:ED|S)?\s+TO\s+(?:CITY\s+)?COUNCIL\b"), label("Recommended to Council"))
+        .when(r.rlike(r"\bRECOMMEND(?:ED|S)?\s+TO\s+(?:CITY )?COUNCIL\b"), label("Recommended to Council"))
         .when(r.rlike(r"\bBE\s+(?:FILED|NOTED|RECEIVED)\b"), "Received as information")
         .when(r.rlike(r"\bFIRST\s+READING\b|\bCONSIDER\s+BYLAW\b"), label("First reading passed"))
         .when(has(v, F.lit("UNANIMOUSLY")), "Approved")
@@ -204,9 +204,9 @@ def vote_tally() -> Column:
     """(yes, no) from the detail, else from the result; null where neither says."""
     detail, result = text("vote_detail"), text("vote_result")
     number = lambda p, c, i=1: F.regexp_extract(c, p, i).try_cast("int")
-    yes, no = number(r"(?i)In\s+Favour:\s*\((\d+)\)", detail), number(r"(?i)\bAgainst:\s*\((\d+)\)", detail)
+    yes, no = number(r"(?i)In\s+Favour\s*:\s*\((\d+)\)", detail), number(r"(?i)\bAgainst\s*:\s*\((\d+)\)", detail)
     pair = lambda a, b: F.struct(F.coalesce(a, F.lit(0)).alias("yes"), F.coalesce(b, F.lit(0)).alias("no"))
-    t = r"\((\d+)\s*(?:to|-)\s*(\d+)\)"
+    t = r"\((\d+)\s*(?:-|to)\s*(\d+)\)"
     first, second = pair(yes, no), pair(number(t, result), number(t, result, 2))
     some = lambda p: (p["yes"] > 0) | (p["no"] > 0)
     return F.when(some(first), first).when(some(second), second)
@@ -217,8 +217,8 @@ def made(category: str, body: Column) -> Column:
 
 
 AMENDED = (
-    r"(?i)\bas\s+amended\b|\bamendment\s+to\s+the\s+(?:motion|recommendation)\b|\bamendment\s+(?:was\s+)?(?:adopted|approved|carried|defeated|lost)\b|"
-    r"\bmoved\s+(?:an?\s+)?amendment\b|\b(?:clause|motion|recommendation|resolution)\s+be\s+amended\b"
+    r"(?i)\bmoved\s+an?\s+amendment\b|\bmoved\s+amendment\b|\bamendment\s+to\s+the\s+(?:recommendation|motion)\b|"
+    r"\bamendment\s+(?:was )?(?:adopted|approved|carried|defeated|lost)\b|\b(?:clause|motion|recommendation|resolution)\s+be\s+amended\b|\bas\s+amended\b"
 )
 
 
@@ -230,7 +230,7 @@ def amendment_text() -> Column:
     return F.when(whole.rlike(AMENDED), chip(sentence_around(whole, at, at + F.length(hit))))
 
 
-MONEY = r"\$\s?[\d,]+(?:\.\d+)?(?:\s*(?:million|billion|thousand|[mbk]))?"
+MONEY = r"\$\s?[\d,]+(?:[.]\d+)?(?:\s*(?:thousand|billion|million|[bkm]))?"
 
 
 def cost_chips(most: int = 3) -> Column:
@@ -238,7 +238,7 @@ def cost_chips(most: int = 3) -> Column:
     whole = F.concat_ws(" ", *[text(c) for c in ("title", "recommendation", "motion_text", "content")])
     # An amount and up to 80 characters after it, which a lookahead leaves for the next.
     parts = [F.regexp_extract_all(whole, F.lit(rf"(?is)({MONEY})(?=(.{{0,80}}))"), F.lit(i)) for i in (1, 2)]
-    purpose = r"(?iU)^\s*(for|to(?:\s+the)?|towards?)\s+([a-z][\w\s'&-]{2,40}?)(?=[.,;:–—()\[\]]|\s+(?:and|be|that|to|which)\b|$)"
+    purpose = r"(?iU)^\s*(towards?|to(?:\s+the)?|for)\s+([a-z](?:[\s\w'&]|-){2,40}?)(?=[\[\]().,;:–—]|\s+(?:and|be|that|to|which)\b|$)"
 
     def label(raw: Column, tail: Column) -> Column:
         what = F.concat_ws(" ", F.lower(F.regexp_replace(F.regexp_extract(tail, purpose, 1), r"\s+", " ")), F.trim(F.regexp_extract(tail, purpose, 2)))
@@ -336,11 +336,14 @@ def discussion_topics(content: Column | str, most: int = 3) -> Column:
     return F.slice(F.filter(big, lambda p: F.length(p).between(3, 50)), 1, most)
 
 
-VERBS = (
-    ("not.{0,10}exceed", "max"), ("award", "awarded"), ("approv", "approved"), ("budget", "budgeted"), ("allocat", "allocated"), ("fund(?:ed|ing)", "funded"),
-    ("grant", "granted"), ("contract", "contract"), ("expend|spend", "spent"), ("invest", "invested"), ("lev(?:ied|y)", "levied"), ("increas", "increase"),
-    ("decreas|reduc|sav", "savings"), ("revenue", "revenue"), ("charge|fee", "fee"), ("compensat|pay|salar", "salary"), ("donat", "donated"), ("cost|estimat", "estimated"),
-)
+#: What an amount nearby is said to be, in order of preference: pattern > word.
+VERBS = [
+    tuple(x.split(">"))
+    for x in (
+        "not.{0,10}exceed>max;award>awarded;approv>approved;budget>budgeted;allocat>allocated;fund(?:ed|ing)>funded;grant>granted;contract>contract;expend|spend>spent;"
+        "invest>invested;lev(?:ied|y)>levied;increas>increase;decreas|reduc|sav>savings;revenue>revenue;charge|fee>fee;compensat|pay|salar>salary;donat>donated;cost|estimat>estimated"
+    ).split(";")
+]
 NO_PURPOSE = "a an and city development for in land municipal neighbourhood of the".split()
 
 
@@ -350,7 +353,7 @@ def money_contexts(whole: Column) -> Column:
     Lookarounds capture the context and leave it to the neighbours. The
     lookbehind takes 80 characters, or fewer from the very start.
     """
-    p = F.lit(r"(?s)(?<=(^.{0,79}|.{80}))(\$[\d,]+(?:\.\d+)?(?:\s*(?:million|billion))?)(?=(.{0,200}))")
+    p = F.lit(r"(?s)(?<=(^.{0,79}|.{80}))(\$[\d,]+(?:[.]\d+)?(?:\s*(?:billion|million))?)(?=(.{0,200}))")
     before, raw, after = (F.regexp_extract_all(whole, p, F.lit(i)) for i in (1, 2, 3))
     zipped = F.arrays_zip(before.alias("before"), raw.alias("raw"), after.alias("after"))
     near = lambda m: F.lower(F.concat(m["before"], F.substring(F.concat(m["raw"], m["after"]), 1, 30)))
@@ -360,7 +363,7 @@ def money_contexts(whole: Column) -> Column:
 def money_label(m: Column) -> Column:
     verb = F.coalesce(*[F.when(m["near"].rlike(p), F.lit(v)) for p, v in VERBS], F.lit(""))
     window = F.regexp_extract(m["after"], r"(?s)^(.*?)(?:;|\. | and That| That |$)", 1)
-    named = F.regexp_extract(window, r"(?:for|for\s+the|to\s+the)\s+((?:[A-Z]\w*\s*){1,5}?)\s*(?:Account|Fund|Initiative|Plan|Program|Reserve)", 1)
+    named = F.regexp_extract(window, r"(?:for|for\s+the|to\s+the)\s+((?:[A-Z]\w*\s*){1,5}?)(?:Account|Fund|Initiative|Plan|Program|Reserve)", 1)
     purpose = F.array_join(F.slice(F.filter(F.split(F.trim(named), r"\s+"), lambda w: (w != "") & ~F.lower(w).isin(NO_PURPOSE)), 1, 2), " ")
     amount = format_money(m["raw"])
     return F.when(purpose != "", F.concat(amount, F.lit(" → "), purpose)).when(verb != "", F.concat_ws(" ", amount, verb)).otherwise(amount)
@@ -374,7 +377,7 @@ def badges(places: tuple[str, ...] = ()) -> Column:
     title, rec, content = text("title"), text("recommendation"), text("content")
     badge = lambda kind, label: F.struct(kind.alias("type"), label.alias("label"))
     slug = lambda c: F.concat(F.lit("cat-"), F.replace(F.replace(F.lower(c), F.lit(" & "), F.lit("-")), F.lit(" "), F.lit("-")))
-    people = F.slice(F.regexp_extract_all(title, F.lit(r"Councillor\s+([A-Z]\.?\s*[A-Za-z]+)"), F.lit(1)), 1, 2)
+    people = F.slice(F.regexp_extract_all(title, F.lit(r"Councillor\s+([A-Z][.]?\s*[a-zA-Z]+)"), F.lit(1)), 1, 2)
     kinds = "Avenue|Boulevard|Circle|Crescent|Drive|Place|Road|Street|Way"
     address = F.slice(F.regexp_extract_all(title, F.lit(rf"(\d+\s+(?:[A-Z]\w+\s+)*?(?:{kinds})(?:\s+(?:East|North|South|West))?)"), F.lit(1)), 1, 1)
     if places:

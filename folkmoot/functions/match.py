@@ -156,7 +156,7 @@ def name_candidates(c: Column | str, roster: Column | None = None) -> Column:
 
 def file_key(c: Column | str) -> Column:
     """An attachment's name without number, extension and redaction mark, in lower case."""
-    steps = ((r"(?U)\.\w{2,4}$", ""), (r"\(\d+\)\s*$", ""), (r"(?i)_redacted\s*$", ""), (r"(?U)^\w{2,4}\d{4}-\d{3,5}\s+", ""), (r"^\d+(?:\.\d+)*\s+", ""))
+    steps = ((r"(?U)\.\w{2,4}$", ""), (r"\(\d+\)\s*$", ""), (r"(?i)_redacted\s*$", ""), (r"(?U)^\w\w\w?\w?\d\d\d\d-\d{3,5}\s+", ""), (r"^\d+(?:[.]\d+)*\s+", ""))
     out = text(c)
     for p, r in steps:
         out = F.regexp_replace(out, p, r)
@@ -172,7 +172,7 @@ def file_words(c: Column | str) -> Column:
     dash = r"\s*[-–—]\s*"
     bare = F.regexp_replace(text(c), rf"(?i)^(?:comments|request to speak|rts|submitting comments){dash}", "")
     last = F.element_at(F.split(bare, dash, 3), -1)
-    bare = F.regexp_replace(F.regexp_replace(last, r"(?i)_redacted(?:\(\d+\))?\.\w{2,4}$", ""), r"(?U)\.\w{2,4}$", "")
+    bare = F.regexp_replace(F.regexp_replace(last, r"(?i)_redacted(?:[(]\d+[)])?\.\w{2,4}$", ""), r"(?U)\.\w{2,4}$", "")
     return F.array_sort(F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit("[a-z]{3,}"), F.lit(0))), F.array(*map(F.lit, PLAIN_STOPS))))
 
 
@@ -181,7 +181,7 @@ def title_words(c: Column | str) -> Column:
 
 
 KEYWORD_STOPS = (
-    "a an and are as at be by for from has have in is it its of on or that the to was were will with this their them they these those which who "
+    "which who those these they them their this with will were was to the that or on of its it is in have has from for by be at as are and an a "
     "agenda city committee council item overview policy public recommendation report section standing update"
 ).split()
 

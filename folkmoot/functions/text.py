@@ -64,24 +64,29 @@ def unescape(c: Column) -> Column:
     return decoded(c)
 
 
+def spaced(words: str) -> str:
+    """A pattern for words with white space between."""
+    return r"\s+".join(words.split())
+
+
 PLAIN_STEPS = (
     (rf"(?i)^bylaw\s+no\.\s*\d+\s*{DASH}\s*", ""),
     (r"(?i)\bbylaw\b,?\s*", ""),
     (r"(?i)\(no\.\s*\d+\)", ""),
-    (r"(?:\s*\[[^\[\]]*\])+\s*$", ""),
-    (rf"(?i)^award\s+of\s+contract\s*{DASH}\s*", ""),
+    (r"(?:\s*\[[^\]\[]*\])+\s*$", ""),
+    (rf"(?i)^{spaced("award of contract")}\s*{DASH}\s*", ""),
     (r"(?i)\(contract\s+no\.\s*[\w-]+\)", ""),
-    (rf"(?i)^request\s+for\s+expressions?\s+of\s+interest\s*{DASH}\s*", ""),
-    (rf"(?i)^request\s+for\s+proposals?\s*{DASH}\s*", ""),
-    (rf"(?i)^enquiry\s*{DASH}\s*councillor\s+\S+(?:\s+\S+)?\s*\([^)]*\)\s*{DASH}\s*", ""),
+    (rf"(?i)^{spaced("request for expressions? of interest")}\s*{DASH}\s*", ""),
+    (rf"(?i)^{spaced("request for proposals?")}\s*{DASH}\s*", ""),
+    (rf"(?i)^enquiry\s*{DASH}\s*councillor(?:\s+\S+){{1,2}}?\s*\([^)]*\)\s*{DASH}\s*", ""),
     (rf"(?i)^enquiry\s*{DASH}\s*", ""),
-    (rf"(?i)^councillor\s+\S+(?:\s+\S+)?\s*{DASH}\s*notice\s+of\s+motion\s*{DASH}\s*", ""),
-    (rf"(?i)^councillor\s+\S+\.?\s+\S+\s*{DASH}\s*", ""),
-    (rf"(?iU)^report\s+of\s+the\s+\w[\w\s]{{0,30}}?{DASH}\s*", ""),
+    (rf"(?i)^councillor(?:\s+\S+){{1,2}}\s*{DASH}\s*{spaced("notice of motion")}\s*{DASH}\s*", ""),
+    (rf"(?i)^councillor(?:\s+\S+){{2}}\s*{DASH}\s*", ""),
+    (rf"(?iU)^{spaced("report of the")}\s+\w[\s\w]{{0,30}}?{DASH}\s*", ""),
     (rf"(?i)^appointments?\s*{DASH}\s*", ""),
-    (r"(?i)^standing\s+policy\s+committee\s+(?:on\s+)?", ""),
+    (rf"(?i)^{spaced("standing policy committee")}\s+(?:on\s+)?", ""),
     (r"(?i)^the\s+", ""),
-    (r"(?U)\s*\[\w{2,4}\d{4}-\d{3,5}\]\s*", ""),
+    (r"(?U)\s*\[\w\w\w?\w?\d\d\d\d-\d{3,5}\]\s*", ""),
     (r"[,\s]+\d{4}\s*$", ""),
     (rf"\s*{DASH}\s*$", ""),
     (r"\s{2,}", " "),
@@ -124,7 +129,7 @@ def trim_to_chip(c: Column | str, limit: int = 100) -> Column:
         index = F.length(head) - at - len(sep) + 1
         return F.when((at > 0) & (index > 20), F.regexp_replace(F.substring(whole, F.lit(1), index), "[,;:]+$", ""))
 
-    cut = F.coalesce(*[before(s) for s in (". ", "! ", "? ", "; ", ", ")], F.lit(""))
+    cut = F.coalesce(*[before(s) for s in [f"{mark} " for mark in ".!?;,"]], F.lit(""))
     return F.when(F.length(whole) <= limit, whole).otherwise(cut)
 
 

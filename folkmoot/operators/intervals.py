@@ -240,7 +240,7 @@ def correct_timestamps(items: DataFrame, segments: DataFrame) -> DataFrame:
     return rows.withColumn("time_start_ms", F.coalesce("found_ms", "time_start_ms")).withColumn("time_start_formatted", clock(F.col("time_start_ms"))).drop("found_ms")
 
 
-RECESS = r"(?i)\b(?:back\s+at\s+\d{1,2}|recess|stand\s+down|stand(?:ing|s)?\s+at\s+ease|take\s+a\s+(?:short\s+)?break)\b"
+RECESS = r"(?i)\b(?:back\s+at\s+\d{1,2}|recess|stand\s+down|stand(?:ing|s)?\s+at\s+ease|take\s+a\s+break|take\s+a\s+short\s+break)\b"
 RECONVENE = r"(?i)\b(?:back\s+to\s+order|call\s+the\s+meeting\s+back|come\s+back\s+to\s+order|reconvene|resume)\b"
 
 
@@ -310,21 +310,21 @@ def mark_timestamps(speakers: DataFrame, items: DataFrame, segments: DataFrame,
 def clean_heard_org(c: Column) -> Column:
     """What is heard of an organization's name, in title case."""
     cut = c
-    for stop in (" and ", " you ", " we ", " i ", " thank ", " members ", " your ", " mr ", " ms ", ",", "."):
+    for stop in (*(f" {w} " for w in "and you we i your thank members ms mr".split()), ",", "."):
         cut = F.split_part(cut, F.lit(stop), F.lit(1))
     small = ("and", "for", "in", "of", "on", "the")
     words = F.filter(F.split(F.trim(cut), r"\s+"), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*small), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20))))), " ")
 
 
-DISCLAIMED = r"as a private citizen|not (?:here |speaking )?on behalf of|not (?:to )?speak(?:ing)? (?:for|on behalf)|not represent"
-ORG = r"([a-z][a-z &'\-]{2,60})"
+DISCLAIMED = r"as a private citizen|not (?:here |speaking )?on behalf of|not (?:to )?speak(?:ing|) (?:for|on behalf)|not represent"
+ORG = r"([a-z](?:[a-z &']|-){2,60})"
 
 
 def organization_near(tail: Column, later: Column) -> Column:
     """The organization said after a name, blank where the speaker disclaims one within two minutes."""
     whole_word = lambda c, p, i: F.when(c.rlike(f"(?:{p})(?=[a-z])"), F.regexp_replace(F.regexp_extract(c, p, i), r"\s*\S+$", "")).otherwise(F.regexp_extract(c, p, i))
-    chair, of = r"^(?:\S+\s+){0,4}?(?:from|representing|with)\s+" + ORG, r"^(?:\S+\s+){0,2}?of\s+" + ORG
+    chair, of = r"^(?:[^\s]+\s+){0,4}?(?:from|representing|with)\s+" + ORG, r"^(?:[^\s]+\s+){0,2}?of\s+" + ORG
     from folkmoot.functions.match import TITLE_ENDS
 
     self_ = r"\b(?:i am|i'm)\s+(?:the\s+|an?\s+)?(?:[a-z][a-z \-]*\s)?(?:" + "|".join(sorted(TITLE_ENDS)) + r")\s+of\s+(?:the\s+)?" + ORG
@@ -357,7 +357,7 @@ def mark_heard(speakers: DataFrame, items: DataFrame, segments: DataFrame, windo
     return got.withColumns({"heard": was | truth("is_heard"), "organization": F.when(F.trim(text("organization")) != "", F.col("organization")).otherwise(F.coalesce(F.nullif("org", F.lit("")), text("organization")))}).drop("is_heard", "org")
 
 
-QUESTIONS = r"(?i)\b(?:go|moved?|proceed|turn)\s+to\s+questions\s+(?:for|of|to)\s+(?:the\s+)?administration\b"
+QUESTIONS = r"(?i)\b(?:go|moved?|proceed|turn)\s+to\s+questions\s+(?:to|of|for)\s+(?:the )?administration\b"
 
 
 def mark_questions(items: DataFrame, segments: DataFrame, window: DataFrame | None = None) -> DataFrame:

@@ -173,27 +173,27 @@ def rank_by_names(items: DataFrame, slices: DataFrame, roster: Column | None = N
 def extractive_summary(rows: DataFrame, key: list[str], body: str, title: str, k: int = 2) -> DataFrame:
     """(key, summary): the k sentences of a text that say most, in the order of the text.
 
-    One row a text throughout: word counts are a map within the row, so nothing
-    is shuffled. Ties go to the earlier sentence; a text of k sentences or fewer
-    is its own summary; null and blank texts give a blank.
+    Words are counted and scored by joins on key and word, as a lookup in a map
+    of a text's words would be a scan of it. The key must be unique and not
+    null. Ties go to the earlier sentence; a text of k sentences or fewer is its
+    own summary; null and blank texts give a blank.
     """
-    said, words = split_sentences(body, min_len=11), tokens(body)
-    rows = rows.select(*key, said.alias("s"), words.alias("w"), F.array_distinct(tokens(title)).alias("t"))
-    distinct = F.array_distinct("w")
-    counts = F.map_from_arrays(distinct, F.transform(distinct, lambda x: F.size(F.filter("w", lambda y: y == x)).cast("double")))
-    rows = rows.withColumn("n", counts).withColumn("top", F.greatest(F.lit(1.0), F.array_max(F.map_values("n"))))
-
-    def score(s: Column, i: Column) -> Column:
-        w = tokens(s)
-        freq = F.aggregate(w, F.lit(0.0), lambda a, x: a + F.try_element_at("n", x) / F.col("top")) / F.size(w)
-        shared = F.when(F.size("t") > 0, F.size(F.array_intersect("t", w)) / F.size("t")).otherwise(0.0)
-        long = F.when(F.size(w).between(8, 30), 1.0).otherwise(0.5)
-        value = freq * 0.3 + 0.3 / (1.0 + F.log1p(i)) + shared * 0.25 + long * 0.15
-        return F.when(F.size(w) > 0, F.struct(F.negative(F.round(value, 12)).alias("rank"), i.alias("i"), s.alias("s")))
-
-    scored = F.slice(F.array_sort(F.array_compact(F.transform("s", score))), 1, k)
-    best = F.transform(F.array_sort(F.transform(scored, lambda x: F.struct(x["i"], x["s"].alias("s")))), lambda x: x["s"])
-    return rows.select(*key, F.when(F.size("s") <= k, F.array_join("s", " ")).otherwise(F.array_join(best, " ")).alias("summary"))
+    texts = rows.select(*key, split_sentences(body, min_len=11).alias("all"), F.array_distinct(tokens(title)).alias("_title"), text(body).alias("_body"))
+    counts = texts.select(*key, F.explode(tokens("_body")).alias("w")).groupBy(*key, "w").agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.withColumn("top", F.max("c").over(Window.partitionBy(*key)))
+    long = texts.where(F.size("all") > k)
+    said = long.select(*key, F.posexplode("all").alias("i", "s"))
+    used = said.select(*key, "i", F.explode(tokens("s")).alias("w")).groupBy(*key, "i", "w").agg(F.count(F.lit(1)).alias("m"))
+    titled = long.select(*key, F.explode("_title").alias("w"), F.lit(1).alias("in_title"))
+    freq = used.join(counts, [*key, "w"]).join(titled, [*key, "w"], "left")
+    per = freq.groupBy(*key, "i").agg((F.sum(F.col("m") * F.col("c").cast("double") / F.col("top")) / F.sum("m")).alias("freq"), F.sum("m").alias("n"), F.count("in_title").alias("shared"))
+    per = per.join(long.select(*key, F.size("_title").alias("words")), key)
+    overlap = F.when(F.col("words") > 0, F.col("shared") / F.col("words")).otherwise(0.0)
+    value = F.col("freq") * 0.3 + 0.3 / (1.0 + F.log1p("i")) + overlap * 0.25 + F.when(F.col("n").between(8, 30), 0.15).otherwise(0.075)
+    best = top_per_group(per.withColumn("score", F.round(value, 12)), key, F.col("score"), ["i"], k).select(*key, "i")
+    glued = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), " ")
+    picked = said.join(best, [*key, "i"]).groupBy(*key).agg(glued.alias("best"))
+    return texts.join(picked, key, "left").select(*key, F.when(F.size("all") <= k, F.array_join("all", " ")).otherwise(F.coalesce("best", F.lit(""))).alias("summary"))
 
 
 def summarize_items(items: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ from folkmoot.functions.classify import SPOKE, is_city_unit, is_office, is_proce
 from folkmoot.functions.text import clean_entities, shorten, text
 
 NOT_NAMES = ("discussion", "he", "it", "questions", "she", "the", "they")
-NAME = r"(?U)^[A-Z][\w.\-]*(?:\s+[A-Z][\w.\-]*){0,5}$"
-FILED = r"(?i)(?:Request to Speak|RTS)\s+-\s+(.+?)\s+-\s+(.+?)(?:_Redacted)?(?:\s*\(\d+\))?\.pdf$"
+NAME = r"(?U)^[A-Z][\w\-.]*(?:\s+[A-Z][\w\-.]*){0,5}$"
+FILED = r"(?i)(?:Request to Speak|RTS)\s+-\s+(.+?)\s+-\s+(.+?)(?:_Redacted)?\s*(?:\(\d+\))?\.pdf$"
 
 
 def from_minutes(items: DataFrame, city: str = r"\w+") -> DataFrame:

@@ -13,7 +13,7 @@ MONTHS = "january|february|march|april|may|june|july|august|september|october|no
 
 def bookmarks(pages: DataFrame) -> DataFrame:
     """(meeting_id, item_id, start_ms, end_ms): the span of each item's marks, repaired JSON where it isn't strict."""
-    raw = F.regexp_extract(F.col("html"), r"(?s)Bookmarks\s*:\s*(\[.*?\])", 1)
+    raw = F.regexp_extract(F.col("html"), r"(?s)Bookmarks\s*:\s*([\[].*?\])", 1)
     schema = "array<struct<AgendaItemId:bigint,TimeStart:bigint,TimeEnd:bigint>>"
     mended = F.regexp_replace(F.regexp_replace(raw, r"(\w+)\s*:", r'"$1":'), r",\s*([}\]])", "$1")
     strict, loose = F.from_json(raw, schema), F.from_json(mended, schema)
@@ -26,7 +26,7 @@ def bookmarks(pages: DataFrame) -> DataFrame:
 def agenda_rows(pages: DataFrame) -> DataFrame:
     """(meeting_id, pos, item_id, section_number, title), the first of each id."""
     # (?is) as on the page: a counter, then a title, then the link that selects the item.
-    p = r"(?is)AgendaItemCounter.*?>([\d.]+)</DIV.*?AgendaItemTitle.*?SelectItem\((\d+)\).*?>(.*?)</a>"
+    p = r"(?is)AgendaItemCounter.*?>([.\d]+)</DIV.*?AgendaItemTitle.*?SelectItem\((\d+)\).*?>(.*?)</a>"
     groups = F.arrays_zip(*[F.regexp_extract_all("html", F.lit(p), F.lit(i)).alias(n) for i, n in ((1, "n"), (2, "id"), (3, "t"))])
     rows = pages.select("meeting_id", F.posexplode(groups).alias("at", "r")).select("meeting_id", "at", F.col("r.id").cast("bigint").alias("item_id"), clean_html("r.n").alias("section_number"), clean_html("r.t").alias("title"))
     first = rows.groupBy("meeting_id", "item_id").agg(F.min_by(F.struct("at", "section_number", "title"), "at").alias("f"))
@@ -69,7 +69,7 @@ def _kind(blocks: DataFrame, kind: str, name: str) -> DataFrame:
 
 def attachments(blocks: DataFrame, site: str = "") -> DataFrame:
     """P5: (meeting_id, item_id, att_pos, doc_id, name, url): the first link to each document; a first link without a name uses the document up."""
-    p = r'(?is)<a\s[^>]*href="(filestream\.ashx\?DocumentId=(\d+))"[^>]*>(.*?)</a>'
+    p = r'(?is)<a\s[^<>]*?href="(filestream[.]ashx[?]DocumentId=(\d+))"[^<>]*>(.*?)</a>'
     links = F.arrays_zip(*[F.regexp_extract_all("block", F.lit(p), F.lit(i)).alias(n) for i, n in ((1, "u"), (2, "d"), (3, "n"))])
     rows = blocks.select("meeting_id", "item_id", F.posexplode(links).alias("att_pos", "l"))
     rows = rows.select("meeting_id", "item_id", "att_pos", F.col("l.d").alias("doc_id"), clean_html("l.n").alias("name"), F.concat(F.lit(f"{site}/" if site else ""), "l.u").alias("url"))
@@ -79,7 +79,7 @@ def attachments(blocks: DataFrame, site: str = "") -> DataFrame:
 
 def contested(result: Column) -> Column:
     up = F.upper(result)
-    split = ~F.contains(up, F.lit("UNANIMOUSLY")) & result.rlike(r"\(\d+\s+to\s+\d+\)")
+    split = ~F.contains(up, F.lit("UNANIMOUSLY")) & result.rlike(r"[(]\d+\s+to\s+\d+[)]")
     return F.contains(up, F.lit("DEFEATED")) | split
 
 
@@ -91,17 +91,17 @@ def votes(blocks: DataFrame) -> DataFrame:
 
 def meeting_info(html: Column) -> Column:
     """(title, date, start_time) of a page; blank where it doesn't say."""
-    head = F.regexp_extract(html, r"(?is)<h1[^>]*id=['\"]AgendaHeaderTitle['\"][^>]*>(.*?)</h1>", 1)
+    head = F.regexp_extract(html, r"""(?is)<h1\b[^<>]*\bid=["']AgendaHeaderTitle["'][^<>]*>(.*?)</h1>""", 1)
     bare = lambda c: clean_entities(F.regexp_replace(c, r"(?s)<[^>]+>", " "))
     lines = F.transform(F.split(head, r"(?i)<br\s*/?>"), bare)
     words = lambda x: F.regexp_extract_all(F.lower(x), F.lit("[a-z]+"), F.lit(0))
     kept = F.filter(lines, lambda x: (x != "") & ~((F.size(words(x)) > 0) & F.forall(words(x), lambda w: w.isin(KINDS))))
     # Lines up to the first that tells when.
-    when = F.transform(kept, lambda x: x.rlike(rf"(?i)^\[|\b\d{{1,2}}:\d{{2}}\s*[ap]\.?\s*m|^\s*(?:{MONTHS})\b"))
+    when = F.transform(kept, lambda x: x.rlike(rf"(?i)^\[|\b\d\d?:\d\d\s*[ap]\.?\s*m|^\s*(?:{MONTHS})\b"))
     stop = F.array_position(when, True)
     name = F.array_join(F.when(stop > 0, F.slice(kept, F.lit(1), (stop - 1).cast("int"))).otherwise(kept), " ")
-    spare = F.trim(F.regexp_replace(bare(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)), r"\s*-\s*[A-Za-z]+\s+\d{1,2},\s*\d{4}\s*$", ""))
-    time = r"(?i)<time[^>]*datetime=['\"](\d{4}-\d{2}-\d{2})(?:[ T](\d{2}:\d{2}))?"
+    spare = F.trim(F.regexp_replace(bare(F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)), r"\s*-\s*[a-zA-Z]+\s+\d\d?,\s*\d{4}\s*$", ""))
+    time = r"""(?i)<time\b[^<>]*datetime=["'](\d{4}-\d\d-\d\d)(?:[T ](\d\d:\d\d))?"""
     return F.struct(
         titleize(F.when((head != "") & (name != ""), name).otherwise(spare)).alias("title"),
         F.regexp_extract(html, time, 1).alias("date"),
@@ -118,7 +118,7 @@ def envelope_date(c: Column | str) -> Column:
 
 def start_time(c: Column | str) -> Column:
     """``… @ 9:30 AM`` as ``09:30``."""
-    p = r"(?i)(\d{1,2}):(\d{2})\s*([ap])\.?\s*m"
+    p = r"(?i)(\d\d?):(\d\d)\s*([ap])\.?\s*m"
     part = lambda i: F.regexp_extract(text(c), p, i)
     hour = part(1).try_cast("int") % 12 + F.when(F.lower(part(3)) == "p", 12).otherwise(0)
     return F.when(part(1) == "", "").otherwise(F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(2)))
@@ -127,7 +127,7 @@ def start_time(c: Column | str) -> Column:
 def gist(c: Column | str) -> Column:
     """P10: five labelled lines to a struct; a later line of a label wins; null on SKIP or under three labels."""
     raw = text(c)
-    p = r"^\s*(What|Who|When|Where|Why)\s*:\s*(.*)$"
+    p = r"^\s*(Who|What|Where|When|Why)\s*:(.*)$"
     lines = F.filter(F.split(raw, r"\r?\n"), lambda x: x.rlike(p))
     labels = F.transform(lines, lambda x: F.lower(F.regexp_extract(x, p, 1)))
 
