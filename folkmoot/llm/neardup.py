@@ -14,9 +14,10 @@ its cell, however large the corpus; and there are so many grids that a pair at
 ``design`` bits shares a cell of one with probability ``recall``; closer pairs
 are likelier. No cell, partner or group is capped.
 
-Equal fingerprints are one point, so thousands of exact copies cost no pairs.
-Near copies are first linked in stars, each point of a cell with the cell's
-least point; the join of pairs then passes over those that are one group already.
+Equal fingerprints are one point, so thousands of exact copies cost no pairs. A
+cell's points are gathered once, over all grids in one shuffle, and searched from
+point to point: what is reached is joined by one link and isn't compared again,
+so that near copies by the thousand give a link each, not a million pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folkmoot.llm.common import Intake, row_key, settle
@@ -115,27 +117,68 @@ def cells(points: DataFrame, masks: list[tuple[int, int]], first: int = 0) -> Da
     return rows.select(cell.alias("cell"), *points.columns)
 
 
-def near(a1: Column, a2: Column, b1: Column, b2: Column, distance: int) -> Column:
-    def apart(x: Column, y: Column) -> Column:
-        return F.bit_count(x.bitwiseXOR(y))
+def _sorted_bits(f: np.ndarray) -> np.ndarray:
+    """``embedded``, for unsigned halves in numpy."""
+    odd, one = np.uint64(ODD), np.uint64(1)
+    high = f >> one
+    return ((f | high) & odd) | ((f & high & odd) << one)
 
-    manhattan = apart(embedded(a1), embedded(b1)) + apart(embedded(a2), embedded(b2))
-    return (manhattan <= distance) & (apart(a1, b1) + apart(a2, b2) <= distance)
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of all pairs of two lists of (n, 2) halves."""
+    return np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]).astype(np.int16) + np.bitwise_count(a[:, None, 1] ^ b[None, :, 1])
 
-def stars(points: DataFrame, masks: list[tuple[int, int]], distance: int) -> DataFrame:
-    """(u, v): ids of points with the least point of their cell, where near."""
-    least = F.min_by(F.struct("id", "f1", "f2"), "id").over(Window.partitionBy("cell"))
-    rows = cells(points, masks).withColumn("least", least)
-    return rows.where((F.col("id") != F.col("least.id")) & near(F.col("f1"), F.col("f2"), F.col("least.f1"), F.col("least.f2"), distance)).select(F.col("id").alias("u"), F.col("least.id").alias("v"))
 
+def cell_links(f: np.ndarray, distance: int, block: int = 256) -> list[tuple[int, int]]:
+    """Links (i, j) that join the points of one cell just as all near pairs would: a search from every point not reached yet.
 
-def pairs(points: DataFrame, masks: list[tuple[int, int]], distance: int) -> DataFrame:
-    """(u, v): labels of near points that aren't one group yet. ``points`` has f1, f2 and the label."""
-    left = cells(points.select("f1", "f2", "label"), masks)
-    right = left.select(*[F.col(c).alias(f"{c}_") for c in left.columns])
-    on = (F.col("cell") == F.col("cell_")) & (F.col("label") < F.col("label_")) & near(F.col("f1"), F.col("f2"), F.col("f1_"), F.col("f2_"), distance)
-    return left.join(right, on).select(F.col("label").alias("u"), F.col("label_").alias("v"))
+    A frontier is compared with the points not reached, by the Manhattan bound
+    first and exactly where that passes. Points once reached aren't compared
+    again, so a cell of near copies takes few passes.
+    """
+    e = _sorted_bits(f)
+    if len(f) <= 2 * block:
+        # Few points: all pairs at once, given out as they are unless they are many.
+        x, y = np.nonzero(np.triu(_apart(e, e) <= distance, 1))
+        exact = np.bitwise_count(f[x] ^ f[y]).sum(1) <= distance
+        if exact.sum() <= 4 * len(f):
+            return list(zip(x[exact].tolist(), y[exact].tolist()))
+    left = np.arange(len(f))
+    links: list[tuple[int, int]] = []
+    while len(left) > 1:
+        frontier, left = left[:1], left[1:]
+        while len(frontier) and len(left):
+            some, frontier = frontier[:block], frontier[block:]
+            ok = _apart(e[some], e[left]) <= distance
+            if ok.any():
+                x, y = np.nonzero(ok)
+                exact = (np.bitwise_count(f[some[x]] ^ f[left[y]]).sum(1) <= distance).nonzero()[0]
+                reached, first = np.unique(y[exact], return_index=True)
+                links += zip(some[x[exact[first]]].tolist(), left[reached].tolist())
+                frontier = np.concatenate([frontier, left[reached]])
+                left = np.delete(left, reached)
+    return links
+
+
+def links(points: DataFrame, masks: list[tuple[int, int]], distance: int) -> DataFrame:
+    """(u, v): ids that join near points of every cell. Cells are gathered by one shuffle and searched in Arrow batches."""
+    gathered = cells(points.select("id", "f1", "f2"), masks).groupBy("cell").agg(F.collect_list(F.struct("id", "f1", "f2")).alias("p")).where(F.size("p") > 1)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(0)
+            at = column.offsets.to_numpy()
+            flat = column.values
+            ids = flat.field(0).to_numpy()
+            f = np.stack([flat.field(1).to_numpy(), flat.field(2).to_numpy()], axis=1).view(np.uint64)
+            u, v = [], []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                for i, j in cell_links(f[a:b], distance):
+                    u.append(ids[a + i])
+                    v.append(ids[a + j])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return gathered.select("p").mapInArrow(search, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -157,19 +200,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def relabel(points: DataFrame, labels: DataFrame, by: str) -> DataFrame:
-    """``points`` with the label that the value of ``by`` has got, else that value."""
-    got = points.join(labels.select(F.col("node").alias(by), F.col("label").alias("new")), by, "left")
-    return got.select("id", "f1", "f2", F.coalesce("new", by).alias("label"))
-
-
 def group_points(points: DataFrame, distance: int = DISTANCE, design: int = DESIGN, recall: float = RECALL) -> DataFrame:
-    """(id, f1, f2, label): distinct fingerprints, numbered, with the least number of their group."""
+    """(f1, f2, label): distinct fingerprints with the least number of their group."""
     # Numbers are fixed by the checkpoint, so a lost executor can't renumber.
     points = settle(points.select("f1", "f2").distinct().withColumn("id", F.monotonically_increasing_id()))
-    masks = grids(*shape(points.count(), design, recall))
-    points = settle(relabel(points, components(stars(points, masks, distance)), "id"))
-    return relabel(points, components(pairs(points, masks, distance)), "label")
+    labels = components(links(points, grids(*shape(points.count(), design, recall)), distance))
+    got = points.join(labels.select(F.col("node").alias("id"), F.col("label").alias("new")), "id", "left")
+    return got.select("f1", "f2", F.coalesce("new", "id").alias("label"))
 
 
 def _decided(df: DataFrame, id_col: str, text_col: str, distance: int) -> tuple[Intake, DataFrame]:
