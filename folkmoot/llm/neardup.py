@@ -11,12 +11,13 @@ cells have edges of one, and points that share a cell are candidates. Candidates
 within the Manhattan bound are verified by exact Hamming distance. A grid takes
 so many coordinates that a point expects a bounded number of unrelated points in
 its cell, however large the corpus; and there are so many grids that a pair at
-``design`` bits shares a cell of one with probability ``recall``; closer pairs
-are likelier. No cell, partner or group is capped.
+``design`` bits shares a cell of one with probability ``recall``, and a pair at
+the full ``distance`` with probability ``FAR_RECALL``, whatever the number of
+points; closer pairs are likelier. No cell, partner or group is capped.
 
 Equal fingerprints are one point, so thousands of exact copies cost no pairs. A
-cell's points are gathered once, over all grids in one shuffle, and searched from
-point to point: what is reached is joined by one link and isn't compared again,
+cell's points are brought together once, over all grids in one shuffle, and
+searched from point to point where they are many: what is reached is joined by one link and isn't compared again,
 so that near copies by the thousand give a link each, not a million pairs.
 """
 
@@ -39,6 +40,7 @@ WORD = re.compile(r"\w+")
 BITS, SEGMENTS = 128, 64
 DISTANCE = 24
 DESIGN, RECALL, CROWD = 17, 0.95, 64
+FAR_RECALL = 0.9
 UNRELATED = 0.45
 ODD = 0x5555555555555555
 
@@ -85,15 +87,42 @@ def embedded(f: Column) -> Column:
     return f.bitwiseOR(high).bitwiseAND(F.lit(ODD)).bitwiseOR(F.shiftleft(f.bitwiseAND(high).bitwiseAND(F.lit(ODD)), 1))
 
 
-def shape(points: int, design: int = DESIGN, recall: float = RECALL, crowd: int = CROWD) -> tuple[int, int]:
-    """(coordinates of a grid, number of grids) for so many points."""
+def shared(k: int, bits: int) -> list[tuple[float, float]]:
+    """(probability, probability that a grid of k coordinates has both in one cell) of pairs that differ in so many bits.
+
+    One entry for each number of coordinates that may agree: of the bits, which
+    fall anywhere, two in a segment leave its count as it was half of the time.
+    """
+    agree = [0.0] * (SEGMENTS + 1)
+    for two in range(max(0, bits - SEGMENTS), bits // 2 + 1):
+        ways = math.comb(SEGMENTS, two) * math.comb(SEGMENTS - two, bits - 2 * two) * 2 ** (bits - 2 * two) / math.comb(BITS, bits)
+        for same in range(two + 1):
+            agree[SEGMENTS - bits + two + same] += ways * math.comb(two, same) / 2**two
+    return [(p, math.comb(m, k) / math.comb(SEGMENTS, k)) for m, p in enumerate(agree) if p]
+
+
+def enough(k: int, bits: int, recall: float) -> int:
+    """Fewest grids of k coordinates, one of which has a pair at so many bits in one cell with this probability."""
+    pairs = shared(k, bits)
+
+    def missed(n: int) -> float:
+        return sum(p * (1 - q) ** n for p, q in pairs)
+
+    low, high = 0, 1
+    while missed(high) > 1 - recall:
+        low, high = high, 2 * high
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if missed(mid) > 1 - recall else (low, mid)
+    return high
 
-    def same(p: float) -> float:
-        return (1 - p) ** 2 + p * p / 2
 
-    k = max(4, math.ceil(math.log(max(points, 2) / crowd) / -math.log(same(UNRELATED))))
+def shape(points: int, design: int = DESIGN, recall: float = RECALL, crowd: int = CROWD, distance: int = DISTANCE) -> tuple[int, int]:
+    """(coordinates of a grid, number of grids) for so many points."""
+    unrelated = (1 - UNRELATED) ** 2 + UNRELATED**2 / 2
+    k = max(4, math.ceil(math.log(max(points, 2) / crowd) / -math.log(unrelated)))
     k = min(k, SEGMENTS)
-    return k, max(1, math.ceil(math.log(1 - recall) / math.log1p(-(same(design / BITS) ** k))))
+    return k, max(enough(k, min(design, distance), recall), enough(k, distance, FAR_RECALL))
 
 
 def grids(k: int, n: int, seed: int = 3) -> list[tuple[int, int]]:
@@ -160,25 +189,63 @@ def cell_links(f: np.ndarray, distance: int, block: int = 256) -> list[tuple[int
     return links
 
 
+def near_in_cells(cell: np.ndarray, f: np.ndarray, distance: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) of rows sorted by cell, as ``cell_links`` has them for each cell; all small cells are compared at once."""
+    first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    size = np.diff(np.concatenate([first, [len(cell)]]))
+    few = size <= 2 * block
+    at = np.repeat(np.arange(len(first)), size)
+    after = first[at] + size[at] - 1 - np.arange(len(cell))
+    e = _sorted_bits(f)
+    live = np.flatnonzero(few[at] & (after > 0))
+    us, vs, step = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], 1
+    while len(live):
+        # Every row with the one so many rows on in its cell.
+        other = live + step
+        ok = np.bitwise_count(e[live] ^ e[other]).sum(1) <= distance
+        u, v = live[ok], other[ok]
+        exact = np.bitwise_count(f[u] ^ f[v]).sum(1) <= distance
+        us.append(u[exact])
+        vs.append(v[exact])
+        step += 1
+        live = live[after[live] >= step]
+    u, v = np.concatenate(us), np.concatenate(vs)
+    search = ~few | (np.bincount(at[u], minlength=len(first)) > 4 * size)
+    plain = ~search[at[u]]
+    us, vs = [u[plain]], [v[plain]]
+    for c in np.flatnonzero(search).tolist():
+        got = np.array(cell_links(f[first[c] : first[c] + size[c]], distance, block), dtype=np.int64).reshape(-1, 2) + first[c]
+        us.append(got[:, 0])
+        vs.append(got[:, 1])
+    return np.concatenate(us), np.concatenate(vs)
+
+
 def links(points: DataFrame, masks: list[tuple[int, int]], distance: int) -> DataFrame:
-    """(u, v): ids that join near points of every cell. Cells are gathered by one shuffle and searched in Arrow batches."""
-    gathered = cells(points.select("id", "f1", "f2"), masks).groupBy("cell").agg(F.collect_list(F.struct("id", "f1", "f2")).alias("p")).where(F.size("p") > 1)
+    """(u, v): ids that join near points of every cell. Cells are brought together by one shuffle of plain rows and searched in Arrow batches."""
+    rows = cells(points.select("id", "f1", "f2"), masks).repartition("cell").sortWithinPartitions("cell")
+
+    def near(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        cell, ids, f = (np.concatenate(x) for x in zip(*parts))
+        u, v = near_in_cells(cell, f, distance)
+        return pa.RecordBatch.from_arrays([pa.array(ids[u], pa.int64()), pa.array(ids[v], pa.int64())], names=["u", "v"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            column = batch.column(0)
-            at = column.offsets.to_numpy()
-            flat = column.values
-            ids = flat.field(0).to_numpy()
-            f = np.stack([flat.field(1).to_numpy(), flat.field(2).to_numpy()], axis=1).view(np.uint64)
-            u, v = [], []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                for i, j in cell_links(f[a:b], distance):
-                    u.append(ids[a + i])
-                    v.append(ids[a + j])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    return gathered.select("p").mapInArrow(search, "u long, v long")
+            if not batch.num_rows:
+                continue
+            cell, ids, f1, f2 = (batch.column(n).to_numpy() for n in range(4))
+            f = np.stack([f1, f2], axis=1).view(np.uint64)
+            # The last cell may go on in the next batch.
+            cut = int(np.searchsorted(cell, cell[-1]))
+            if cut or (held and held[-1][0][-1] != cell[-1]):
+                yield near([*held, (cell[:cut], ids[:cut], f[:cut])])
+                held = []
+            held.append((cell[cut:].copy(), ids[cut:].copy(), f[cut:]))
+        if held:
+            yield near(held)
+
+    return rows.mapInArrow(search, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -204,7 +271,7 @@ def group_points(points: DataFrame, distance: int = DISTANCE, design: int = DESI
     """(f1, f2, label): distinct fingerprints with the least number of their group."""
     # Numbers are fixed by the checkpoint, so a lost executor can't renumber.
     points = settle(points.select("f1", "f2").distinct().withColumn("id", F.monotonically_increasing_id()))
-    labels = components(links(points, grids(*shape(points.count(), design, recall)), distance))
+    labels = components(links(points, grids(*shape(points.count(), design, recall, distance=distance)), distance))
     got = points.join(labels.select(F.col("node").alias("id"), F.col("label").alias("new")), "id", "left")
     return got.select("f1", "f2", F.coalesce("new", "id").alias("label"))
 

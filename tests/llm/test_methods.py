@@ -152,6 +152,31 @@ def test_near_duplicates_against_all_pairs(spark, docs):
     assert all(len(x) == 1 for x in groups.values())
 
 
+@pytest.mark.parametrize("points", [9_000, 1_000_000, 10_000_000])
+def test_grids_find_pairs_at_the_full_distance(points):
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 2, (3000, neardup.BITS), dtype=np.uint8)
+    b = a.copy()
+    for row in b:
+        row[rng.choice(neardup.BITS, neardup.DISTANCE, replace=False)] ^= 1
+    differ = np.bitwise_xor(*[neardup._sorted_bits(np.packbits(x, axis=1).view(">u8").astype(np.uint64)) for x in (a, b)])
+    found = np.zeros(len(a), dtype=bool)
+    for masks in neardup.grids(*neardup.shape(points)):
+        found |= ~(differ & np.array(masks, dtype=np.int64).view(np.uint64)).any(1)
+    assert found.mean() >= 0.89
+
+
+def test_cells_are_searched_alike_at_once_and_one_by_one():
+    rng = np.random.default_rng(9)
+    cell = np.sort(np.concatenate([rng.integers(0, 60, 300), np.full(80, 61), np.full(600, 62)]))
+    f = rng.integers(0, 2**63, (len(cell), 2), dtype=np.uint64)
+    f[rng.random(len(cell)) < 0.5] = f[0]
+    f[rng.random(len(cell)) < 0.5, 1] ^= np.uint64(0b1011)
+    u, v = neardup.near_in_cells(cell, f, neardup.DISTANCE)
+    want = [(i + at, j + at) for c in np.unique(cell) for at in [int(np.searchsorted(cell, c))] for i, j in neardup.cell_links(f[cell == c], neardup.DISTANCE)]
+    assert sorted(zip(u.tolist(), v.tolist())) == sorted(want) and want
+
+
 def test_manhattan_is_a_lower_bound(spark):
     random.seed(2)
     rows = [tuple(random.getrandbits(64) - (1 << 63) for _ in range(2)) for _ in range(300)]
