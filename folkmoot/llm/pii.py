@@ -30,7 +30,7 @@ from folkmoot.llm.common import Intake
 
 OUTSIDE = 0
 KINDS = ("outside", "email", "phone", "ip", "card", "secret", "national_id", "iban")
-REACH, LONGEST = 80, 24
+REACH, LONGEST, SPACES = 80, 24, 8
 TRIGGER = re.compile(r"\d|@|[A-Z0-9]{16,}")
 TOKEN = re.compile(r"[^\W_]+|\s+|.", re.S)
 OPEN, CLOSE = set("+(\"'"), set(")\"'")
@@ -63,13 +63,16 @@ SHAPES = [
 ]
 FEATURES = ["bias"] + [n for n, _ in SHAPES] + [
     "luhn", "at", "space", "two_spaces", "no_digit", "digits_1_5", "digits_6_9", "digits_10_12", "digits_13_19", "digits_20", "more_right", "more_left",
-    "opens_mark", "closes_mark", "odd_quotes", "after_assign", "letters_most", "starts_word", "ends_word", "capitals16",
+    "opens_mark", "closes_mark", "odd_quotes", "after_assign", "letters_most", "starts_word", "ends_word", "capitals16", "more_group",
 ]
 AT = {n: i for i, n in enumerate(FEATURES)}
 TOKEN_KINDS = ("word", "digits", "mixed", "space", "at", "mark")
 LETTERS = re.compile(r"[^\W\d_]")
 BEFORE_ASSIGN = re.compile(ASSIGNED + r"\s*[=:]\s*[\"']?$", re.I)
 CAPITALS = re.compile(r"[A-Z0-9]{16,}")
+SHAPE = dict(SHAPES)
+PAIRS, NEXT_PAIR = re.compile(r"(?:\+\d{1,3}|\d{2}) \d{2}$"), re.compile(r" \d{2}(?![\w.])")
+NEXT_GROUP = re.compile(r" (?=[A-Z]*\d)[A-Z0-9]{1,4}(?!\w)")
 FIRST_WORD, LAST_WORD = re.compile(r"[^\W\d_]+\s"), re.compile(r"\s[^\W\d_]+$")
 
 
@@ -117,9 +120,22 @@ def features(text: str, a: int, b: int) -> list[int]:
         f.append(AT["more_left"])
     if BEFORE_ASSIGN.search(text[max(0, a - 24) : a]):
         f.append(AT["after_assign"])
+    if more_group(text, a, b):
+        f.append(AT["more_group"])
     return f
 
 
+def more_group(text: str, a: int, b: int) -> bool:
+    """Whether a group beyond the span would go on with it: a pair of digits after pairs, or a group of an IBAN."""
+    if b >= len(text) or text[b] != " ":
+        return False
+    if text[a] == "+":
+        m, shape = PAIRS.search(text, a, b) and NEXT_PAIR.match(text, b), "phone_plus"
+    else:
+        m, shape = text[a : a + 2].isupper() and NEXT_GROUP.match(text, b), "iban"
+    return bool(m and SHAPE[shape].fullmatch(text, a, m.end()))
+
+
 def token_kind(t: str) -> int:
     if t[0].isspace():
         return 3
@@ -173,7 +189,7 @@ class Region:
                 last, b = j - 1, self.at[j]
                 if self.kinds[last] == 3:
                     spaces += 1
-                    if spaces > 3 or "\n" in text[self.at[last] : b]:
+                    if spaces > SPACES or "\n" in text[self.at[last] : b]:
                         break
                 if b - a > REACH:
                     break
@@ -251,12 +267,12 @@ def _entity(rng: random.Random) -> tuple[str, str]:
     key = rng.choice(("password", "token", "secret", "api_key", "pwd"))
     made = {
         "email": lambda: f"{_word(rng)}{rng.choice(('', '.', '_'))}{rng.choice((_word(rng), d(2)))}@{rng.choice((_word(rng), 'mail' + d(1)))}.{rng.choice(('example.com', 'org', 'net', 'co.uk', 'de'))}",
-        "phone": lambda: rng.choice((f"+{rng.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{rng.randint(1, 99)} {d(3)} {d(3)} {d(4)}", f"+{rng.randint(1, 99)}-{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}")),
+        "phone": lambda: rng.choice((f"+{rng.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{rng.randint(1, 99)} {d(3)} {d(3)} {d(4)}", f"+{rng.randint(1, 99)}-{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{rng.randint(1, 99)} " + " ".join(d(2) for _ in range(rng.randint(4, 5))))),
         "ip": lambda: octets,
         "card": lambda: rng.choice((card, f"4{d(3)} {d(4)} {d(4)} {d(4)}", f"5{d(3)}-{d(4)}-{d(4)}-{d(4)}", "4" + d(15), d(16))),
         "secret": lambda: rng.choice((f'{key} = "{hexa(rng.choice((24, 32, 40)))}"', f"{key}={hexa(rng.choice((16, 18, 20)))}", f"{key}: {hexa(20)}", "AKIA" + caps(16), "AKIA" + caps(16), "ghp_" + hexa(30))),
         "national_id": lambda: f"{d(3)}-{d(2)}-{d(4)}",
-        "iban": lambda: rng.choice(("DE", "FR", "ES", "GB")) + d(2) + rng.choice(("", " ")).join(["", d(4), d(4), d(4), d(4), d(2)]),
+        "iban": lambda: rng.choice(("DE", "FR", "ES", "GB")) + d(2) + rng.choice(("", " ")).join(["", rng.choice((d(4), d(4), caps(4))), *[d(4) for _ in range(rng.choice((3, 3, 4, 6)))], d(rng.choice((2, 2, 3)))]),
     }
     kind = rng.choice(KINDS[1:])
     return kind, made[kind]()
@@ -296,9 +312,9 @@ def fit(sentences: int = 250, epochs: int = 12, seed: int = 13, rate: float = 0.
         text, spans = sentence(rng)
         r = Region(text, 0, len(text))
         where = {(r.at[i], r.at[j]): c for c, (i, j) in enumerate(r.spans)}
-        gold = {where[a, b]: y for a, b, y in spans if (a, b) in where}
-        if len(gold) == len(spans):
-            data.append((r, gold))
+        if lost := [text[a:b] for a, b, _ in spans if (a, b) not in where]:
+            raise ValueError(f"no candidate spans for {lost}")
+        data.append((r, {where[a, b]: y for a, b, y in spans}))
     params = [np.zeros((len(FEATURES), kinds)), np.zeros(len(TOKEN_KINDS)), np.zeros((kinds, kinds))]
     seen = [np.full_like(p, 1e-2) for p in params]
     for _ in range(epochs):

@@ -228,6 +228,22 @@ def test_private_data_held_out():
     assert right > 0.88 * true and wrong < 0.06 * true
 
 
+def test_private_data_in_many_groups():
+    crf = pii.fit()
+    for text, entity, kind in (
+        ("pay to DE89 3704 0044 0532 0130 00 now", "DE89 3704 0044 0532 0130 00", "iban"),
+        ("from FR14 2004 1010 0505 0001 3002 606 then", "FR14 2004 1010 0505 0001 3002 606", "iban"),
+        ("call +49 30 12 34 56 78 today", "+49 30 12 34 56 78", "phone"),
+    ):
+        assert [(text[a:b], pii.KINDS[y]) for a, b, y, _ in pii.find(crf, [text])[0]] == [(entity, kind)]
+
+
+def test_fitting_fails_where_an_entity_is_no_candidate(monkeypatch):
+    monkeypatch.setattr(pii, "SPACES", 3)
+    with pytest.raises(ValueError, match="no candidate"):
+        pii.fit(epochs=1)
+
+
 def test_shards_match_the_mixture(spark):
     df = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id % 10 < 7 THEN 'a' WHEN id % 10 < 9 THEN 'b' ELSE 'c' END AS source")
     got = sharding.shard_plan(df, shards=8, seed=1).groupBy("shard").pivot("source", ["a", "b", "c"]).count().collect()
