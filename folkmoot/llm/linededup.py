@@ -7,9 +7,10 @@ often the line occurs. Lines whose estimate is clear of the threshold are
 decided by it; lines within ``band`` of the threshold get exact distinct counts
 from their own occurrences, which are the only ones joined back.
 
-A document of which more than ``max_loss`` of the text would go is a copied
-page, not a page with boilerplate on it, and is left whole for the near-duplicate
-stage, which keeps one copy of it.
+A document of which more than ``max_loss`` of the text would go is left whole
+where its whole text stands on another document as well: it is a copied page, of
+which the near-duplicate stage keeps one. All others lose their boilerplate,
+however much of them it is.
 """
 
 from __future__ import annotations
@@ -41,6 +42,13 @@ def spread(lines: DataFrame, min_sites: int, lg_k: int, band: float) -> DataFram
     return est.where(F.col("est") >= min_sites * (1 - band)).select("h", (F.col("est") > min_sites * (1 + band)).alias("sure"))
 
 
+def copied(rows: DataFrame, text: Column) -> DataFrame:
+    """(j1, j2): keys of rows whose whole text stands on rows of other ids too. ``rows`` has k1 and k2."""
+    keyed = rows.where(F.trim(text) != "").select("k1", F.col("k1").alias("j1"), F.col("k2").alias("j2"), F.xxhash64(F.lit(1), text).alias("t1"), F.xxhash64(F.lit(2), text).alias("t2"))
+    several = keyed.groupBy("t1", "t2").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("t1", "t2")
+    return keyed.join(several, ["t1", "t2"], "left_semi").select("j1", "j2").distinct()
+
+
 def line_dedup(
     df: DataFrame,
     min_sites: int = MIN_SITES,
@@ -78,6 +86,7 @@ def line_dedup(
     exact = found.groupBy("h").agg(F.max("sure").alias("sure"), F.countDistinct(F.when(~F.col("sure"), F.col("site"))).alias("n"))
     cut = exact.where(F.col("sure") | (F.col("n") >= min_sites)).select("h")
     drops = found.join(cut, "h").groupBy(F.col("k1").alias("j1"), F.col("k2").alias("j2")).agg(F.collect_set("h").alias("cut"))
+    drops = drops.join(copied(rows, text).withColumn("copy", F.lit(True)), ["j1", "j2"], "left")
     joined = rows.join(drops, (F.col("k1") == F.col("j1")) & (F.col("k2") == F.col("j2")), "left")
 
     def size(ls: Column) -> Column:
@@ -87,7 +96,7 @@ def line_dedup(
     kept = F.filter(whole, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("cut"), _hash(F.trim(x))))
     joined = joined.withColumn("kept", F.when(F.col("cut").isNotNull(), kept))
     over = (size(whole) - size(F.col("kept"))) > size(whole) * F.lit(float(max_loss))
-    joined = joined.withColumn("kept", F.when(over, F.lit(None)).otherwise(F.col("kept")))
+    joined = joined.withColumn("kept", F.when(over & F.col("copy"), F.lit(None)).otherwise(F.col("kept")))
     clean = F.when(F.col("kept").isNull(), text).otherwise(F.array_join("kept", "\n"))
     if not counts:
         if length_col is None:

@@ -39,6 +39,13 @@ def test_copied_pages_stay_whole(spark):
     assert {r["text"] for r in got.collect()} == {"one line\nsecond line of the page"}
 
 
+def test_boilerplate_goes_from_pages_that_are_no_copies(spark):
+    shared = "a long passage that stands on many sites " * 20
+    rows = [(i, f"own {i}\n{shared}", f"s{i}") for i in range(12)]
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {i: f"own {i}" for i in range(12)}
+
+
 def segmentations(pieces, text):
     per = []
     for chunk in pieces.split(text):
