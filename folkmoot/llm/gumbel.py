@@ -23,6 +23,7 @@ by x gets x + Exp(1) / m. The inclusion score of a sample is the logarithm of
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -36,11 +37,55 @@ from folkmoot.llm.common import TOKENIZERS, Intake, vocabulary
 
 SPACE = "▁"
 LITERAL = "\U0010ffff"  # stands for a U+2581 that the text itself holds
-ARCS_KEPT = 3_000_000
+ARCS_KEPT = 1_000_000
 PLAIN, GROWTH = 100, 40.0
 M64 = (1 << 64) - 1
 
 
+class Trie:
+    """A vocabulary's prefixes as a double array: a node's child by a kind of character is at its offset plus the kind, if its parent says so."""
+
+    def __init__(self, ids: dict[str, int]):
+        kinds = {c: n for n, c in enumerate(sorted({c for p in ids for c in p}), 1)}
+        self.kind = np.zeros(0x110000, dtype=np.int32)  # 0: in no piece
+        for c, n in kinds.items():
+            self.kind[ord(c)] = n
+        self.depth = max(map(len, ids))
+        children: dict[str, list[int]] = {"": []}
+        for p in ids:
+            for j in range(len(p), 0, -1):
+                if p[:j] in children:
+                    break
+                children[p[:j]] = []
+        for p in children:
+            if p:
+                children[p[:-1]].append(kinds[p[-1]])
+        size = 4 * len(children) + len(kinds) + 1
+        parent = [-1] * size
+        base = [0] * size
+        piece = [-1] * size
+        rng, place = random.Random(1), {"": 0}
+        chars = {n: c for c, n in kinds.items()}
+        # By length, so that a parent has its place first, and of equal length the largest families first.
+        parent[0] = -2
+        for p in sorted(children, key=lambda p: (len(p), -len(children[p]), p)):
+            at, kids = place[p], children[p]
+            piece[at] = ids.get(p, -1)
+            if kids:
+                while any(parent[b + k] != -1 for k in kids) if (b := rng.randrange(1, size - len(kinds))) else True:
+                    pass
+                base[at] = b
+                for k in kids:
+                    parent[b + k] = at
+                    place[p + chars[k]] = b + k
+        self.base, self.parent, self.piece = (np.array(x, dtype=np.int32) for x in (base, parent, piece))
+
+    def step(self, node: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Children by kinds of character, and whether there are such."""
+        to = self.base[node] + kind
+        return to, (self.parent[to] == node) & (kind > 0)
+
+
 class Pieces:
     """A SentencePiece vocabulary: pieces with weights, byte tokens, and where no piece crosses."""
 
@@ -68,11 +113,11 @@ class Pieces:
         self.weight = {i: float(x) for (_, i), x in zip(order, w)}
         self.byte_weight = float(w.min())
         self.longest = max(map(len, self.ids))
-        # By prefix of a piece: the piece's id, or -1 if it is none. Weights by length keep short chunks' sums near 1.
-        self.prefix = {p[:j]: -1 for p in self.ids for j in range(1, len(p))} | self.ids
-        self.scaled = [0.0] * n
+        self.trie = Trie(self.ids)
+        # Weights by length keep short chunks' sums near 1.
+        self.scaled_array = np.zeros(n)
         for p, i in self.ids.items():
-            self.scaled[i] = self.weight[i] * GROWTH ** len(p)
+            self.scaled_array[i] = self.weight[i] * GROWTH ** len(p)
         self.chunks = self._chunks()
 
     def _chunks(self):
@@ -116,6 +161,13 @@ class Pieces:
         b = 3 if char == LITERAL else len(char.encode("utf-8", "surrogatepass"))
         return self.code(char), self.byte_weight**b * GROWTH
 
+    def spelled_all(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``spelled``, for code points that are no piece."""
+        points = np.where(points == ord(LITERAL), ord(SPACE), points)
+        size = 1 + (points >= 0x80).astype(int) + (points >= 0x800) + (points >= 0x10000)
+        of_byte = np.array([self.byte_id[b] for b in range(128)])
+        return np.where(points < 128, of_byte[points % 128], -1 - points), self.byte_weight**size * GROWTH
+
     def code(self, char: str) -> int:
         """Of an unknown character: its byte token if it is one byte, else a code below 0."""
         n = ord(SPACE if char == LITERAL else char)
@@ -168,47 +220,92 @@ class Lattices:
         self.id = np.zeros(1 << 12, dtype=np.int32)
 
     def add(self, chunks: list[str]) -> None:
-        """Append chunks' lattices: arcs from left to right chunk by chunk, then put in order of the state they enter."""
-        mass, into, prev, ids = [], [], [], []
-        put_mass, put_into, put_prev, put_id = mass.append, into.append, prev.append, ids.append
-        prefix, weight = self.pieces.prefix.get, self.pieces.scaled
-        s = self.n_states
+        """Append chunks' lattices: those of up to ``PLAIN`` characters all at once, longer ones one by one."""
+        short = [c for c in chunks if len(c) <= PLAIN]
+        if short:
+            self._short(sorted(short, key=len, reverse=True))
         for chunk in chunks:
-            n, base = len(chunk), s - 1  # position j is state base + j
-            if n > PLAIN:
-                self._long(chunk, base, mass, into, prev, ids)
+            if len(chunk) > PLAIN:
+                mass, into, prev, ids = [], [], [], []
+                self._long(chunk, self.n_states - 1, mass, into, prev, ids)
+                self._put(np.array(mass), np.bincount(np.array(into) - self.n_states), np.array(prev), np.array(ids))
+                self.last[chunk] = self.n_states - 1
+
+    def _short(self, chunks: list[str]) -> None:
+        """Lattices of chunks, the longest first: the states of all chunks' first positions, then of all second ones, and so on.
+
+        A state's arcs come in from the farthest start to the nearest.
+        """
+        trie, size = self.pieces.trie, np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        longest = int(size[0])
+        alive = np.searchsorted(-size, -np.arange(1, longest + 1), side="right")  # chunks that have a j-th character
+        off = np.concatenate([[0, 0], np.cumsum(alive)])  # of position j: its first state, from 1 on; position 0 has none
+        n = int(off[-1])
+        point = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int32)
+        owner = np.repeat(np.arange(len(chunks)), size)
+        nth = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
+        state = off[nth + 1] + owner
+        char = np.empty(n, dtype=np.int32)
+        char[state] = point
+        kind = trie.kind[char]
+        # All pieces from all positions at once, a character further each time.
+        where, who = nth.astype(np.int64), owner
+        node = np.zeros(n, dtype=np.int32)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for d in range(1, trie.depth + 1):
+            end = off[where + d] + who
+            node, ok = trie.step(node, kind[end])
+            piece = np.where(ok, trie.piece[node], -1)
+            got = np.flatnonzero(piece >= 0)
+            before = np.where(where[got] > 0, off[where[got]] + who[got], -1)
+            found.append((end[got], before, piece[got]))
+            if d == 1 and len(odd := np.flatnonzero(piece < 0)):
+                # Characters that are no piece are spelled in bytes; their ids are told apart from pieces' below.
+                found.append((end[odd], np.where(where[odd] > 0, off[where[odd]] + who[odd], -1), np.full(len(odd), -1)))
+            ok &= where + d < size[who]
+            at = np.flatnonzero(ok)
+            if not len(at):
+                break
+            node, where, who = node[at], where[at], who[at]
+        count = np.zeros(n, dtype=np.int64)
+        for end, _, _ in found:
+            count[end] += 1
+        first = np.cumsum(count) - count
+        put, arcs = first.copy(), int(count.sum())
+        prev, ids, weight = np.empty(arcs, dtype=np.int64), np.empty(arcs, dtype=np.int64), np.empty(arcs)
+        for end, before, piece in reversed(found):
+            slot = put[end]
+            put[end] += 1
+            prev[slot] = before
+            if len(piece) and piece[0] < 0:
+                ids[slot], weight[slot] = self.pieces.spelled_all(char[end])
             else:
-                forward = [0.0] * (n + 1)
-                forward[0] = 1.0
-                for i in range(n):
-                    f, here = forward[i], base + i if i else -1
-                    for j in range(i + 1, n + 1):
-                        if (p := prefix(chunk[i:j])) is None:
-                            break
-                        if p >= 0:
-                            x = f * weight[p]
-                            forward[j] += x
-                            put_mass(x)
-                            put_into(base + j)
-                            put_prev(here)
-                            put_id(p)
-                    if prefix(chunk[i], -1) < 0:
-                        p, w = self.pieces.spelled(chunk[i])
-                        forward[i + 1] += f * w
-                        put_mass(f * w)
-                        put_into(base + i + 1)
-                        put_prev(here)
-                        put_id(p)
-            s += n
-            self.last[chunk] = s - 1
-        x, end = np.array(mass), np.array(into, dtype=np.int64)
-        order = np.argsort(end, kind="stable")
-        x, end = x[order], end[order] - self.n_states
-        count = np.bincount(end, minlength=s - self.n_states)
-        first = np.concatenate([[0], np.cumsum(count)[:-1]])
+                ids[slot], weight[slot] = piece, self.pieces.scaled_array[piece]
+        # Forward sums, position by position; entry 0 is the start of every chunk.
+        forward = np.ones(n + 1)
+        mass = np.empty(arcs)
+        bound = np.append(first, arcs)
+        for j in range(1, longest + 1):
+            a, b = off[j], off[j + 1]
+            lo, hi = bound[a], bound[b]
+            mass[lo:hi] = forward[prev[lo:hi] + 1] * weight[lo:hi]
+            forward[a + 1 : b + 1] = np.add.reduceat(mass[lo:hi], first[a:b] - lo)
+        base = self.n_states
+        self._put(mass, count, np.where(prev < 0, -1, prev + base), ids)
+        self.last.update(zip(chunks, (base + off[size] + np.arange(len(chunks))).tolist()))
+
+    def _put(self, x: np.ndarray, count: np.ndarray, prev: np.ndarray, ids: np.ndarray) -> None:
+        """Append states by their numbers of arcs, and the arcs in the states' order with their masses."""
+        first = np.cumsum(count) - count
+        end = np.repeat(np.arange(len(count)), count)
         prob = x / np.add.reduceat(x, first)[end]
-        c = np.cumsum(prob)
-        cum = c - (c - prob)[first][end]
+        cum = prob.copy()
+        at = np.flatnonzero(count > 1)
+        k = 1
+        while len(at):
+            cum[first[at] + k] += cum[first[at] + k - 1]
+            k += 1
+            at = at[count[at] > k]
         cum[first + count - 1] = 2.0
         # What siblings have together, summed up and not 1 - prob, which would lose the rarest.
         rest = 1.0 - prob
@@ -220,11 +317,11 @@ class Lattices:
             total[ok] += prob[at[ok]]
         rest[near] = total
         na = self.n_arcs
-        for name, data, start in (("first", first + na, self.n_states), ("cum", cum, na), ("prob", prob, na), ("rest", rest, na), ("prev", np.array(prev, dtype=np.int64)[order], na), ("id", np.array(ids, dtype=np.int64)[order], na)):
+        for name, data, start in (("first", first + na, self.n_states), ("cum", cum, na), ("prob", prob, na), ("rest", rest, na), ("prev", prev, na), ("id", ids, na)):
             grown = _grown(getattr(self, name), start + len(data))
             grown[start : start + len(data)] = data
             setattr(self, name, grown)
-        self.n_states, self.n_arcs = s, na + len(x)
+        self.n_states, self.n_arcs = self.n_states + len(count), na + len(x)
 
     def _long(self, chunk: str, base: int, mass: list, into: list, prev: list, ids: list) -> None:
         """A chunk of any length: forward sums carry a power of two of their own."""
