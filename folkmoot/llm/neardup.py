@@ -6,19 +6,25 @@ segments' bit counts, a point whose Manhattan distance from another never
 exceeds the Hamming distance of the fingerprints. Counts are kept as sorted bits
 (00, 01, 11), so that the Manhattan distance is itself a count of differing bits.
 
-Points are joined on grids: each grid takes some of the 64 coordinates, its
-cells have edges of one, and points that share a cell are candidates. Candidates
-within the Manhattan bound are verified by exact Hamming distance. A grid takes
-so many coordinates that a point expects a bounded number of unrelated points in
-its cell, however large the corpus; and there are so many grids that a pair at
-``design`` bits shares a cell of one with probability ``recall``, and a pair at
-the full ``distance`` with probability ``FAR_RECALL``, whatever the number of
-points; closer pairs are likelier. No cell, partner or group is capped.
-
-Equal fingerprints are one point, so thousands of exact copies cost no pairs. A
-cell's points are brought together once, over all grids in one shuffle, and
-searched from point to point where they are many: what is reached is joined by one link and isn't compared again,
-so that near copies by the thousand give a link each, not a million pairs.
+Points are joined on grids, in two steps. An outer grid takes a few of the 64
+coordinates, with edges of one; its cells are brought together by a shuffle, and
+they are few and large, so that a point is sent a small number of times. Within
+a cell, inner grids over the other coordinates split the points further, in
+memory, until a point expects a bounded number of unrelated points in its part;
+small cells are compared pair by pair. Candidates within the Manhattan bound are
+verified by exact Hamming distance.
+
+Recall is the same at every number of points: there are so many outer and inner
+grids that a pair at the full ``distance`` is compared with probability
+``FAR_RECALL`` and one at ``design`` bits with probability ``recall``, counted
+exactly for bits that fall anywhere; closer pairs are likelier. More points only
+take more grids. No cell, partner or group is capped.
+
+Equal fingerprints are one point, so thousands of exact copies cost no pairs.
+Parts in which many are near each other are searched from point to point: what
+is reached is joined by one link and isn't compared again. A cell gives each of
+its points one link at most, to the least of its group, so that near copies by
+the thousand give a link each, not a million pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +32,8 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,10 +46,13 @@ from folkmoot.llm.common import Intake, row_key, settle
 WORD = re.compile(r"\w+")
 BITS, SEGMENTS = 128, 64
 DISTANCE = 24
-DESIGN, RECALL, CROWD = 17, 0.95, 64
+DESIGN, RECALL = 17, 0.95
 FAR_RECALL = 0.9
+OUTER_RECALL = 0.97
 UNRELATED = 0.45
+CELL, CROWD, DENSE = 1 << 20, 8, 1024
 ODD = 0x5555555555555555
+GRIDS = 1 << 16
 
 
 def fingerprints(texts: list[str]) -> np.ndarray:
@@ -87,63 +97,100 @@ def embedded(f: Column) -> Column:
     return f.bitwiseOR(high).bitwiseAND(F.lit(ODD)).bitwiseOR(F.shiftleft(f.bitwiseAND(high).bitwiseAND(F.lit(ODD)), 1))
 
 
-def shared(k: int, bits: int) -> list[tuple[float, float]]:
-    """(probability, probability that a grid of k coordinates has both in one cell) of pairs that differ in so many bits.
+@lru_cache(maxsize=256)
+def _agreeing(k: int, bits: int) -> list[tuple[float, int, float]]:
+    """(probability, coordinates that agree, probability that a grid of k has both in one cell) of pairs that differ in so many bits.
 
-    One entry for each number of coordinates that may agree: of the bits, which
-    fall anywhere, two in a segment leave its count as it was half of the time.
+    Of the bits, which fall anywhere, two in a segment leave its count as it was
+    half of the time.
     """
     agree = [0.0] * (SEGMENTS + 1)
     for two in range(max(0, bits - SEGMENTS), bits // 2 + 1):
         ways = math.comb(SEGMENTS, two) * math.comb(SEGMENTS - two, bits - 2 * two) * 2 ** (bits - 2 * two) / math.comb(BITS, bits)
         for same in range(two + 1):
             agree[SEGMENTS - bits + two + same] += ways * math.comb(two, same) / 2**two
-    return [(p, math.comb(m, k) / math.comb(SEGMENTS, k)) for m, p in enumerate(agree) if p]
+    return [(p, m, math.comb(m, k) / math.comb(SEGMENTS, k)) for m, p in enumerate(agree) if p]
 
 
-def enough(k: int, bits: int, recall: float) -> int:
-    """Fewest grids of k coordinates, one of which has a pair at so many bits in one cell with this probability."""
-    pairs = shared(k, bits)
+def shared(k: int, bits: int) -> list[tuple[float, float]]:
+    """(probability, probability that a grid of k coordinates has both in one cell) of pairs that differ in so many bits."""
+    return [(p, q) for p, _, q in _agreeing(k, bits)]
 
-    def missed(n: int) -> float:
-        return sum(p * (1 - q) ** n for p, q in pairs)
 
+def _fewest(missed: Callable[[int], float], most: float) -> int:
+    """The least number from 1 on at which so few are missed."""
     low, high = 0, 1
-    while missed(high) > 1 - recall:
+    while missed(high) > most:
         low, high = high, 2 * high
     while high - low > 1:
         mid = (low + high) // 2
-        low, high = (mid, high) if missed(mid) > 1 - recall else (low, mid)
+        low, high = (mid, high) if missed(mid) > most else (low, mid)
     return high
 
 
-def shape(points: int, design: int = DESIGN, recall: float = RECALL, crowd: int = CROWD, distance: int = DISTANCE) -> tuple[int, int]:
-    """(coordinates of a grid, number of grids) for so many points."""
+def _coordinates(points: float, crowd: int) -> int:
+    """So many that a point expects ``crowd`` unrelated points to agree with it in all."""
     unrelated = (1 - UNRELATED) ** 2 + UNRELATED**2 / 2
-    k = max(4, math.ceil(math.log(max(points, 2) / crowd) / -math.log(unrelated)))
-    k = min(k, SEGMENTS)
-    return k, max(enough(k, min(design, distance), recall), enough(k, distance, FAR_RECALL))
+    return math.ceil(math.log(max(points / crowd, 1)) / -math.log(unrelated))
 
 
-def grids(k: int, n: int, seed: int = 3) -> list[tuple[int, int]]:
+def shape(points: int, distance: int = DISTANCE, cell: int = CELL) -> tuple[int, int]:
+    """(coordinates of an outer grid, number of outer grids) for so many points: cells of about ``cell`` points, 81 kinds of cells at least."""
+    k = min(max(4, _coordinates(points, cell)), SEGMENTS // 2)
+    pairs = shared(k, distance)
+    return k, _fewest(lambda n: sum(p * (1 - q) ** n for p, q in pairs), 1 - OUTER_RECALL)
+
+
+@lru_cache(maxsize=4096)
+def inner_grids(k: int, n: int, inner: int, distance: int, design: int, recall: float) -> int:
+    """Fewest inner grids of so many coordinates in each cell of ``n`` outer grids of ``k``, for the recall of both steps together.
+
+    Cells of other sizes have other inner grids; as each kind alone would do, so
+    does any mixture (Hoelder's inequality).
+    """
+
+    def missed(bits: int, many: int) -> float:
+        total = 0.0
+        for p, agree, q in _agreeing(k, bits):
+            r = math.comb(agree - k, inner) / math.comb(SEGMENTS - k, inner) if agree >= k else 0.0
+            total += p * (1 - q * (1 - (1 - r) ** many)) ** n
+        return total
+
+    return max(_fewest(lambda m: missed(distance, m), 1 - FAR_RECALL), _fewest(lambda m: missed(min(design, distance), m), 1 - recall))
+
+
+def _masks(coordinates: list[int], k: int, n: int, rng: random.Random) -> list[tuple[int, int]]:
     """Two masks for each grid, over the halves; grids cut from one shuffle share no coordinate."""
-    rng, out = random.Random(seed), []
+    out: list[tuple[int, int]] = []
     while len(out) < n:
-        order = rng.sample(range(SEGMENTS), SEGMENTS)
-        for i in range(0, SEGMENTS - k + 1, k):
+        order = rng.sample(coordinates, len(coordinates))
+        for i in range(0, len(order) - k + 1, k):
             halves = [0, 0]
             for s in order[i : i + k]:
                 halves[s // 32] |= 3 << (2 * (s % 32))
-            out.append(tuple(h - (1 << 64) if h >> 63 else h for h in halves))
+            out.append((halves[0], halves[1]))
     return out[:n]
 
 
+def grids(k: int, n: int, seed: int = 3) -> list[tuple[int, int]]:
+    """Masks of the outer grids, as signed halves."""
+    return [tuple(h - (1 << 64) if h >> 63 else h for h in m) for m in _masks(list(range(SEGMENTS)), k, n, random.Random(seed))]
+
+
+@lru_cache(maxsize=256)
+def inner_masks(outer: tuple[int, int], inner: int, n: int) -> np.ndarray:
+    """Masks of the inner grids of an outer grid's cells, over the coordinates that it leaves."""
+    free = [s for s in range(SEGMENTS) if not (outer[s // 32] >> (2 * (s % 32))) & 1]
+    return np.array(_masks(free, inner, n, random.Random(f"{outer} {inner}")), dtype=np.uint64)
+
+
 def cells(points: DataFrame, masks: list[tuple[int, int]], first: int = 0) -> DataFrame:
-    """A row for each point and grid, with the hash of its cell."""
+    """A row for each point and grid, with the hash of its cell, which ends in the grid's number."""
     each = F.array(*[F.struct(F.lit(first + i).alias("g"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for i, (a, b) in enumerate(masks)])
     rows = points.withColumn("m", F.explode(each))
     cell = F.xxhash64("m.g", embedded(F.col("f1")).bitwiseAND(F.col("m.a")), embedded(F.col("f2")).bitwiseAND(F.col("m.b")))
-    return rows.select(cell.alias("cell"), *points.columns)
+    # The low bits name the grid.
+    return rows.select(cell.bitwiseAND(F.lit(-GRIDS)).bitwiseOR(F.col("m.g").cast("long")).alias("cell"), *points.columns)
 
 
 def _sorted_bits(f: np.ndarray) -> np.ndarray:
@@ -189,8 +236,54 @@ def cell_links(f: np.ndarray, distance: int, block: int = 256) -> list[tuple[int
     return links
 
 
+def near_pairs(f: np.ndarray, e: np.ndarray, distance: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) of near points, compared one with all."""
+    us, vs = [], []
+    for a in range(0, len(f), block):
+        x, y = np.nonzero(_apart(e[a : a + block], e[a:]) <= distance)
+        x, y = x[x < y] + a, y[x < y] + a
+        exact = np.bitwise_count(f[x] ^ f[y]).sum(1) <= distance
+        us.append(x[exact])
+        vs.append(y[exact])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Labels after links: the least label that is reached. Labels are numbers of points and label themselves."""
+    while len(u):
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, label[u], low)
+        np.minimum.at(label, label[v], low)
+        while not np.array_equal(label, to := label[label]):
+            label = to
+        apart = label[u] != label[v]
+        u, v = u[apart], v[apart]
+    return label
+
+
+def cell_groups(f: np.ndarray, outer: tuple[int, int], k: int, n: int, distance: int, design: int, recall: float) -> np.ndarray:
+    """For each point of an outer grid's cell the least point of its group there."""
+    e, label = _sorted_bits(f), np.arange(len(f))
+    if len(f) <= DENSE:
+        return joined(label, *near_pairs(f, e, distance))
+    inner = min(max(1, _coordinates(len(f), CROWD)), SEGMENTS - k)
+    odd = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+    for mask in inner_masks(outer, inner, inner_grids(k, n, inner, distance, design, recall)):
+        part = (e[:, 0] & mask[0]) * odd[0] + (e[:, 1] & mask[1]) * odd[1]
+        order = np.argsort(part)
+        part = part[order]
+        alike = part[1:] == part[:-1]
+        some = np.flatnonzero(np.concatenate([alike, [False]]) | np.concatenate([[False], alike]))
+        order = order[some]
+        u, v = near_in_cells(part[some], f[order], distance)
+        label = joined(label, order[u], order[v])
+    return label
+
+
 def near_in_cells(cell: np.ndarray, f: np.ndarray, distance: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) of rows sorted by cell, as ``cell_links`` has them for each cell; all small cells are compared at once."""
+    if not len(cell):
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     size = np.diff(np.concatenate([first, [len(cell)]]))
     few = size <= 2 * block
@@ -220,14 +313,25 @@ def near_in_cells(cell: np.ndarray, f: np.ndarray, distance: int, block: int = 2
     return np.concatenate(us), np.concatenate(vs)
 
 
-def links(points: DataFrame, masks: list[tuple[int, int]], distance: int) -> DataFrame:
+def links(points: DataFrame, k: int, n: int, distance: int = DISTANCE, design: int = DESIGN, recall: float = RECALL) -> DataFrame:
     """(u, v): ids that join near points of every cell. Cells are brought together by one shuffle of plain rows and searched in Arrow batches."""
-    rows = cells(points.select("id", "f1", "f2"), masks).repartition("cell").sortWithinPartitions("cell")
+    if n >= GRIDS:
+        raise ValueError(f"{n} grids")
+    outer = [tuple(h % (1 << 64) for h in m) for m in grids(k, n)]
+    rows = cells(points.select("id", "f1", "f2"), grids(k, n)).repartition("cell").sortWithinPartitions("cell")
 
     def near(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         cell, ids, f = (np.concatenate(x) for x in zip(*parts))
-        u, v = near_in_cells(cell, f, distance)
-        return pa.RecordBatch.from_arrays([pa.array(ids[u], pa.int64()), pa.array(ids[v], pa.int64())], names=["u", "v"])
+        us, vs = [], []
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(cell)]):
+            if b - a > 1:
+                label = cell_groups(f[a:b], outer[int(cell[a]) & (GRIDS - 1)], k, n, distance, design, recall)
+                at = np.flatnonzero(label != np.arange(b - a))
+                us.append(ids[a + label[at]])
+                vs.append(ids[a + at])
+        u, v = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in (us, vs))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -271,7 +375,7 @@ def group_points(points: DataFrame, distance: int = DISTANCE, design: int = DESI
     """(f1, f2, label): distinct fingerprints with the least number of their group."""
     # Numbers are fixed by the checkpoint, so a lost executor can't renumber.
     points = settle(points.select("f1", "f2").distinct().withColumn("id", F.monotonically_increasing_id()))
-    labels = components(links(points, grids(*shape(points.count(), design, recall, distance=distance)), distance))
+    labels = components(links(points, *shape(points.count(), distance), distance, design, recall))
     got = points.join(labels.select(F.col("node").alias("id"), F.col("label").alias("new")), "id", "left")
     return got.select("f1", "f2", F.coalesce("new", "id").alias("label"))
 
