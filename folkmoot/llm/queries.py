@@ -43,7 +43,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find_leaks(table(spark, sf_dir, "documents"), decontam.indexes(table(spark, sf_dir, "benchmark")))
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), decontam.Benchmark(table(spark, sf_dir, "benchmark")))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

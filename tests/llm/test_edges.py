@@ -22,7 +22,7 @@ def model():
 @pytest.fixture(scope="module")
 def index(spark):
     items = spark.createDataFrame([(1, "same words here again and again in this text. of ours"), (2, None), (3, ""), (4, "!!!")], "item_id long, text string")
-    return decontam.indexes(items)
+    return decontam.Benchmark(items)
 
 
 def texts(df):
@@ -93,6 +93,19 @@ def test_decontamination(odd, none, index):
     assert kept.columns == odd.columns and kept.count() == len(TEXTS) - 3
 
 
+def test_decontamination_without_items_and_with_ties(spark, odd):
+    schema = "item_id long, text string"
+    for rows in ([], [(1, None), (2, ""), (3, "?!")]):
+        empty = decontam.Benchmark(spark.createDataFrame(rows, schema))
+        assert decontam.find_leaks(odd, empty).count() == 0 and decontam.drop_leaked(odd, empty).count() == len(TEXTS)
+    item = "one odd question of many words. its answer stands here"
+    twice = decontam.Benchmark(spark.createDataFrame([(1, item), (1, item), (2, item)], schema))
+    text = " ".join([item] + [f"w{n}" for n in range(200)] + [item])
+    got = decontam.find_leaks(spark.createDataFrame([(5, text)], "doc_id long, text string"), twice).collect()
+    # Repeated items give a row each; of passages that tie the first is named.
+    assert sorted((r["item_id"], r["first_word"]) for r in got) == [(1, 0), (1, 0), (2, 0)]
+
+
 def test_fertility(odd, none):
     got = {r["doc_id"]: r for r in fertility.fertility_rules(odd).collect()}
     assert got[2]["reason"] == got[3]["reason"] == "empty" and got[7]["keep"]

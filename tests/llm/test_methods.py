@@ -308,17 +308,50 @@ def test_wand_retrieves_all_above_threshold(docs):
         words = [decontam.words_of(t) for _, t, _ in docs]
         for w, hits in zip(words, index.search(words)):
             got = {(i, f) for i, f, _ in hits}
-            for first in range(0, max(1, -(-len(w) // index.span) - 1) * index.span, index.span):
-                held = set(w[first : first + 2 * index.span])
-                for i, weights in enumerate(index.weights):
+            for i, weights in enumerate(index.weights):
+                span = index.spans[i]
+                for first in range(0, max(1, -(-len(w) // span) - 1) * span, span):
+                    held = set(w[first : first + 2 * span])
                     assert (sum(x for t, x in weights.items() if t in held) >= threshold - 1e-9) == ((i, first) in got)
 
 
+def test_postings_in_slices_find_the_same():
+    rng = random.Random(3)
+    items = [(n, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice((5, 20, 90, 300))))) for n in range(200)]
+    stats = decontam.Statistics()
+    for _, t in items:
+        stats.add(t)
+    index = decontam.Index(items, stats, 0.4)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(400)).split() + items[n][1].split() for n in range(40)]
+    whole = index.search(texts)
+    for x in index.postings:
+        x.candidates = lambda p, t, x=x: decontam.Postings.candidates(x, p, t, entries=50)
+    assert index.search(texts) == whole and all(whole)
+
+
+def test_an_items_passages_are_its_own(spark):
+    """What is found of an item is the same beside a long item, in a split index and alone."""
+    short = "zq1 zq2 zq3 zq4 zq5 zq6 zq7 zq8 zq9 zq10."
+    items = [(1, short), (2, " ".join(f"long{n}" for n in range(200)))]
+    spread = " ".join(f"zq{n // 15 + 1}" if n % 15 == 0 else f"pad{n}" for n in range(150))
+    texts = [(1, spread), (2, "before it " + short + " and after"), (3, " ".join(f"long{n}" for n in range(200))), (4, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    schema = "item_id long, text string"
+    found = lambda b: {tuple(r) for r in decontam.find_leaks(df, b).collect()}
+    whole, split = decontam.Benchmark(spark.createDataFrame(items, schema)), decontam.Benchmark(spark.createDataFrame(items, schema), max_chars=50)
+    assert split.n > 1 and found(whole) == found(split) and {(r[0], r[1]) for r in found(whole)} == {(2, 1), (3, 2)}
+    one = decontam.Index(items, whole.stats).search([decontam.words_of(spread)])
+    alone = decontam.Index(items[:1], whole.stats).search([decontam.words_of(spread)])
+    assert one == alone
+    for b in (whole, split):
+        assert {r["doc_id"] for r in decontam.drop_leaked(df, b).collect()} == {1, 4}
+
+
 def test_split_indexes_find_the_same(spark):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     df = spark.read.parquet(f"{SF}/documents.parquet")
-    one, many = decontam.indexes(items), decontam.indexes(items, max_chars=2000)
-    assert len(many) > 2
+    one, many = decontam.Benchmark(items), decontam.Benchmark(items, max_chars=2000)
+    assert one.n == 1 and many.n > 2
     rows = lambda found: {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, found).collect()}
     assert rows(one) == rows(many) and rows(one)
 
@@ -367,7 +400,7 @@ def test_pipeline_by_hand(spark, tmp_path):
     assert sizes[0] > sizes[1] == sizes[2] > sizes[3] >= sizes[4] > 0
     final = {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, at, d).select("doc_id").collect()}
     assert final == {r["doc_id"] for r in at.select("doc_id").collect()}
-    assert decontam.find_leaks(at, decontam.indexes(spark.read.parquet(f"{d}/benchmark.parquet"))).count() == 0
+    assert decontam.find_leaks(at, decontam.Benchmark(spark.read.parquet(f"{d}/benchmark.parquet"))).count() == 0
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, d).select("doc_id").collect()} == final
 
 
