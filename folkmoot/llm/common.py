@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZERS = "/opt/tokenizers"
+T = TypeVar("T")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,18 +69,33 @@ def row_key(*cols: Column) -> list[Column]:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary one is made.
+    Only where that is unset and all work is done by one process, as in tests, a
+    temporary one is made; on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folkmoot-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir isn't set; it must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="folkmoot-")
+            _removed_at_the_end(spark, folder)
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def _removed_at_the_end(spark: SparkSession, path: str) -> None:
+    """Have the file system remove a path when the application ends; plans may read it until then."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The table written as Parquet in the shared folder, and read from there."""
+    """The table written as Parquet in the shared folder, and read from there; it is removed when the application ends."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _removed_at_the_end(df.sparkSession, path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -85,6 +105,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], T]) -> T:
+    """What a worker process has made for this key. It holds one such thing at a time: processes outlive the stage that started them, and the next stage needs their memory."""
+    if key not in _kept:
+        _kept.clear()
+        gc.collect()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def vocabulary(name: str, folder: str = TOKENIZERS) -> str:
     path = Path(folder) / name
     if not path.exists():

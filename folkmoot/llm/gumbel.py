@@ -33,12 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from folkmoot.llm.common import TOKENIZERS, Intake, vocabulary
+from folkmoot.llm.common import TOKENIZERS, Intake, kept, vocabulary
 
 SPACE = "▁"
 LITERAL = "\U0010ffff"  # stands for a U+2581 that the text itself holds
 ARCS_KEPT = 1_000_000
-PLAIN, GROWTH = 100, 40.0
+PLAIN, GROWTH, SLICE = 100, 40.0, 8192
 M64 = (1 << 64) - 1
 
 
@@ -346,7 +346,9 @@ class Lattices:
         out = np.fromiter(map(known.get, chunks, repeat(-1)), dtype=np.int64, count=len(chunks))
         missing = np.flatnonzero(out < 0).tolist()
         if missing:
-            self.add(sorted({chunks[i] for i in missing}))
+            new = sorted({chunks[i] for i in missing})
+            for at in range(0, len(new), SLICE):
+                self.add(new[at : at + SLICE])
             out[missing] = [known[chunks[i]] for i in missing]
         return out
 
@@ -561,15 +563,8 @@ def log_inclusion(lp: float, x: float) -> float:
     return t if t < -30 else min(0.0, math.log(-math.expm1(-math.exp(min(t, 700.0)))))
 
 
-_samplers: dict[tuple, Sampler] = {}
-
-
 def sampler(path: str, k: int, seed: int, theta: float, shift: float) -> Sampler:
-    key = (path, k, seed, theta, shift)
-    if key not in _samplers:
-        _samplers.clear()
-        _samplers[key] = Sampler(Pieces(path, theta, shift), k, seed)
-    return _samplers[key]
+    return kept(("sampler", path, k, seed, theta, shift), lambda: Sampler(Pieces(path, theta, shift), k, seed))
 
 
 def encode_samples(

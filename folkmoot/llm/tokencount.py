@@ -14,7 +14,7 @@ from heapq import heapify, heappop, heappush
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from folkmoot.llm.common import TOKENIZERS, Intake, byte_ranks, pretoken_pattern, vocabulary
+from folkmoot.llm.common import TOKENIZERS, Intake, byte_ranks, kept, pretoken_pattern, vocabulary
 
 REMEMBERED = 600_000
 
@@ -62,16 +62,11 @@ class Counter(dict):
         return n
 
 
-_counters: dict[tuple[str, str], tuple] = {}
-
-
 def counter(name: str, folder: str):
-    """(findall, counter) of a vocabulary, once per process."""
-    if (name, folder) not in _counters:
-        import regex
+    """(findall, counter) of a vocabulary, kept as long as the process has no other work."""
+    import regex
 
-        _counters[name, folder] = regex.compile(pretoken_pattern(folder)).findall, Counter(byte_ranks(vocabulary(name, folder)))
-    return _counters[name, folder]
+    return kept(("counter", name, folder), lambda: (regex.compile(pretoken_pattern(folder)).findall, Counter(byte_ranks(vocabulary(name, folder)))))
 
 
 def token_counts(df: DataFrame, name: str = "byte_bpe_50k.tiktoken", folder: str = TOKENIZERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folkmoot.llm.common import Intake
+from folkmoot.llm.common import Intake, kept
 
 WORD = re.compile(r"[^\W\d_]+(?:[^\W_]*[^\W\d_]+)*")
 BUCKETS = 1 << 14
@@ -172,15 +172,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 1000, see
     """(text, toxic): at most ``per_class`` labelled texts of either class, chosen by a hash of their id.
 
     The bound is what lets a model be fitted on the driver at any size of the
-    corpus; labelled rows without a text, a label or an id aren't used.
+    corpus; labelled rows without a text, a label or an id aren't used. Of an id
+    that repeats, the least text and the label toxic count.
     """
     took = Intake(labels, id_col, "toxic").narrow(id=id_col, toxic="toxic").where("id IS NOT NULL AND toxic IN (0, 1)")
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string")))
-    few = [took.where(F.col("toxic") == c).orderBy(order, "id").limit(per_class) for c in (0, 1)]
+    few = [took.where(F.col("toxic") == c).distinct().orderBy(order, "id").limit(per_class) for c in (0, 1)]
     # At most 2 * per_class rows of two numbers: small by construction.
-    chosen = F.broadcast(few[0].unionByName(few[1]).dropDuplicates(["id"]))
+    chosen = F.broadcast(few[0].unionByName(few[1]).groupBy("id").agg(F.max("toxic").alias("toxic")))
     texts = Intake(docs, id_col, text_col).narrow(id=id_col, text=text_col).where("text IS NOT NULL").join(chosen, "id")
-    return texts.select("text", "toxic", "id").limit(4 * per_class).toPandas().sort_values(["id", "text"], ignore_index=True)
+    return texts.groupBy("id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic", "id").toPandas().sort_values(["id", "text"], ignore_index=True)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000, seed: int = 5) -> Model:
@@ -208,16 +209,9 @@ def toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInPandas(judge, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double, at int, toxic boolean")
 
 
-_scorers: dict[bytes, object] = {}
-
-
 def scorer_of(model: Model):
-    """A model's scorer, kept with its word weights for as long as the process lives."""
-    key = model.by_bucket.tobytes()
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = model.scorer()
-    return _scorers[key]
+    """A model's scorer, kept with its word weights as long as the process has no other work."""
+    return kept(("scorer", model.by_bucket.tobytes(), model.bias), model.scorer)
 
 
 def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
