@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from folkmoot.llm import decontam, fertility, gumbel, linededup, neardup, pii, preference, sharding, tokencount, toxicity
 from tests.llm.conftest import TEXTS
 
@@ -122,3 +123,30 @@ def test_toxicity(odd, none, model):
 def test_columns_are_named_in_errors(odd):
     with pytest.raises(ValueError, match="missing"):
         tokencount.token_counts(odd, text_col="missing")
+
+
+def test_pipeline(spark, odd, none, tmp_path):
+    """Odd rows, no rows, and no labels or test items: every stage gives the columns of its input, and no row is lost for being odd."""
+    few = odd.toDF(*[f"c{n}" for n in range(len(odd.columns))]).selectExpr("c0 AS doc_id", "c1 AS text", "c2 AS lang", "c3 AS source", "CAST(length(c1) AS BIGINT) AS n_chars")
+    for name, docs in (("odd", few), ("none", few.limit(0))):
+        folder = tmp_path / name
+        docs.write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality long, toxic long").write.parquet(str(folder / "labels.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        at = spark.read.parquet(str(folder / "documents.parquet"))
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, at, str(folder))
+            if n < 4:
+                assert out.columns == docs.columns
+            out.write.parquet(str(folder / f"stage{n}"))
+            at = spark.read.parquet(str(folder / f"stage{n}"))
+        got = [r["doc_id"] for r in at.where("rank = 0").select("doc_id").collect()]
+        assert sorted(x or 0 for x in got) == ([0, 0, 1, 2, 3, 4, 5, 6, 7, 9] if name == "odd" else [])
+        assert corpus_pipeline.run(spark, str(folder)).count() == at.count()
+
+
+def test_toxicity_without_labels_or_texts(spark, odd, none):
+    labels = "doc_id long, toxic long"
+    for docs, rows in ((odd, []), (none, [(1, 1), (2, 0)]), (odd, [(1, 1), (5, 1)]), (odd, [(None, 1), (1, None)])):
+        m = toxicity.fit(docs, spark.createDataFrame(rows, labels))
+        assert toxicity.drop_toxic(odd, m).count() == len(TEXTS)

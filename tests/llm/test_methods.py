@@ -385,23 +385,98 @@ def test_toxicity_on_held_out_rows_and_misspellings():
     assert min(weights["idioot"], weights["stupiid"]) > weights["the"] + 5
 
 
-def test_pipeline_by_hand(spark, tmp_path):
-    """Stages against what is planted: each decision takes effect and clean rows come through."""
-    d = SF
-    df = spark.read.parquet(f"{d}/documents.parquet")
-    at = df
-    sizes = [df.count()]
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        at = stage(spark, at, d)
-        at.write.parquet(str(tmp_path / f"{len(sizes)}"))
-        at = spark.read.parquet(str(tmp_path / f"{len(sizes)}"))
-        assert at.columns == df.columns
-        sizes.append(at.count())
-    assert sizes[0] > sizes[1] == sizes[2] > sizes[3] >= sizes[4] > 0
-    final = {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, at, d).select("doc_id").collect()}
-    assert final == {r["doc_id"] for r in at.select("doc_id").collect()}
-    assert decontam.find_leaks(at, decontam.Benchmark(spark.read.parquet(f"{d}/benchmark.parquet"))).count() == 0
-    assert {r["doc_id"] for r in corpus_pipeline.run(spark, d).select("doc_id").collect()} == final
+def worst_window(model, text):
+    """The log odds of the worst window, word by word and window by window."""
+    words = toxicity.WORD.findall(text.lower())
+    if not words:
+        return -math.inf
+    v = [math.fsum(model.by_bucket[b] for b in toxicity.buckets_of(w)) / len(toxicity.buckets_of(w)) for w in words]
+    return max(math.fsum(v[i : i + model.window]) / model.window for i in range(max(1, len(v) - model.window + 1))) + model.bias
+
+
+def test_toxicity_scores_by_force(spark, docs):
+    rows = duckdb.connect().execute(f"SELECT text, toxic FROM '{SF}/documents.parquet' JOIN '{SF}/labels.parquet' USING (doc_id)").fetchall()
+    rows += [("you idiot " * 3, 1)] * 5
+    model = toxicity.train([t for t, _ in rows], np.array([y for _, y in rows]), rounds=10, passes=1)
+    df = spark.createDataFrame([(d, t) for d, t, _ in docs], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(df, model).collect()}
+    for d, t, _ in docs:
+        want = worst_window(model, t)
+        assert (got[d]["score"] is None) == (want == -math.inf) and got[d]["toxic"] == (want > model.cut)
+        assert got[d]["score"] is None or got[d]["score"] == pytest.approx(want, abs=1e-9)
+
+
+def line_dedup_by_force(rows):
+    """Rows (doc_id, text, source) less lines on ten sites; copies that would lose over 0.8 of their text stay whole."""
+    sites, holders = defaultdict(set), defaultdict(set)
+    for d, t, s in rows:
+        holders[t].add(d)
+        for line in t.split("\n"):
+            if line.strip(" ") and s is not None:
+                sites[line.strip(" ")].add(s)
+    out = []
+    for d, t, s in rows:
+        lines = t.split("\n")
+        kept = [x for x in lines if len(sites[x.strip(" ")]) < linededup.MIN_SITES]
+        lost, whole = (sum(len(x.strip(" ")) for x in xs) for xs in ([x for x in lines if x not in kept], lines))
+        copy = len(holders[t]) > 1 and t.strip(" ")
+        out.append((d, t if lost > linededup.MAX_LOSS * whole and copy else "\n".join(kept), s))
+    return out
+
+
+def near_dedup_by_force(rows):
+    """The least id of every group that all pairs within the distance make."""
+    f = neardup.fingerprints([t for _, t, _ in rows]).view(np.uint64)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in np.flatnonzero(np.bitwise_count(f[:i] ^ f[i]).sum(1) <= neardup.DISTANCE).tolist():
+            root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r), r, key=lambda x: x[0])
+    return sorted(least.values())
+
+
+def leaks_by_force(words, items, stats):
+    """Whether any item is in any passage, by scoring all with all."""
+    for _, t in items:
+        w = decontam.words_of(t)
+        weights, span, (question, answer) = stats.weights(w), decontam.span_of(len(w)), decontam.question_answer(t)
+        for first in range(0, max(1, -(-len(words) // span) - 1) * span, span):
+            passage = words[first : first + 2 * span]
+            held = set(passage)
+            if sum(x for t, x in weights.items() if t in held) >= decontam.THRESHOLD - 1e-9 and min(decontam.overlap(question, passage), decontam.overlap(answer, passage)) >= decontam.OVERLAP:
+                return True
+    return False
+
+
+def test_pipeline_by_force(spark):
+    """The run's rows against all stages in plain Python: exact sites, all pairs, all items on all passages."""
+    rows = duckdb.connect().execute(f"SELECT doc_id, text, source FROM '{SF}/documents.parquet' ORDER BY 1").fetchall()
+    items = duckdb.connect().execute(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall()
+    stats = decontam.Statistics()
+    for _, t in items:
+        stats.add(t)
+    model = toxicity.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    clean = [r for r in rows if worst_window(model, r[1]) <= model.cut]
+    single = near_dedup_by_force(line_dedup_by_force(clean))
+    left = {d: t for d, t, _ in single if not leaks_by_force(decontam.words_of(t), items, stats)}
+    assert len(rows) > len(clean) > len(single) > len(left) > 0.5 * len(rows)
+    got = corpus_pipeline.run(spark, SF).collect()
+    pieces = gumbel.Pieces(vocabulary("piece_bpe_32k.model"))
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+        assert pieces.decode(r["ids"]) == left[r["doc_id"]] and r["exact"]
+    assert set(by) == set(left)
+    assert all(sorted(r["rank"] for r in x) == list(range(len(x))) and len({tuple(r["ids"]) for r in x}) == len(x) for x in by.values())
+    assert all(len(by[d]) == 2 for d, t in left.items() if len(t) > 20)
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
