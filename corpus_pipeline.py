@@ -25,7 +25,7 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
-    return decontam.drop_leaked(docs, decontam.indexes(table(spark, sf_dir, "benchmark")))
+    return decontam.drop_leaked(docs, decontam.Benchmark(table(spark, sf_dir, "benchmark")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: Toxicity, SimHash and sampling can't be said in SQL; tests/llm holds the run against a plain Python version.
+#: Toxicity, SimHash and sampling can't be said in SQL; tests/llm holds the run against a brute-force version of all stages.
 ORACLE_SQL = None
 
 
