@@ -123,6 +123,7 @@ WITH d AS (SELECT *, row_number() OVER () AS rid FROM {docs}),
 l AS (
   SELECT rid, source, unnest(string_split(text, chr(10))) AS raw,
          generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL),
+copied AS (SELECT text FROM {docs} WHERE trim(text, ' ') <> '' GROUP BY text HAVING count(DISTINCT doc_id) > 1),
 w AS (SELECT trim(raw, ' ') AS line FROM l WHERE trim(raw, ' ') <> '' GROUP BY 1 HAVING count(DISTINCT source) >= {min_sites}),
 m AS (SELECT l.*, w.line IS NOT NULL AS cut FROM l LEFT JOIN w ON trim(l.raw, ' ') = w.line),
 s AS (
@@ -131,7 +132,7 @@ s AS (
          coalesce(sum(length(trim(raw, ' '))) FILTER (cut), 0) > sum(length(trim(raw, ' '))) * {max_loss}::DOUBLE AS over
   FROM m GROUP BY rid),
 r AS (
-  SELECT d.* EXCLUDE (text, rid), CASE WHEN s.rid IS NULL OR s.over THEN d.text ELSE s.cleaned END AS text,
-         CAST(s.n_lines AS INT) AS n_lines, CAST(CASE WHEN s.over THEN 0 ELSE s.n_cut END AS INT) AS n_removed
-  FROM d LEFT JOIN s ON d.rid = s.rid)
+  SELECT d.* EXCLUDE (text, rid), CASE WHEN s.rid IS NULL OR (s.over AND c.text IS NOT NULL) THEN d.text ELSE s.cleaned END AS text,
+         CAST(s.n_lines AS INT) AS n_lines, CAST(CASE WHEN s.over AND c.text IS NOT NULL THEN 0 ELSE s.n_cut END AS INT) AS n_removed
+  FROM d LEFT JOIN s ON d.rid = s.rid LEFT JOIN copied c ON d.text = c.text)
 SELECT {out} FROM r"""
