@@ -8,7 +8,7 @@ row a pair, after one grouping by pair.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folkmoot.llm.common import Intake
@@ -71,34 +71,56 @@ def preference_format(chosen: DataFrame, rejected: DataFrame, id_col: str = "con
     )
 
 
-def stale_reply(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(chosen, rejected) of conversations of which only one side was recorded.
+def rejected_sides(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", pool: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """(chosen, rejected) of conversations of which only one side was recorded; both have all turns of all conversations.
 
-    Chosen is the conversation up to the assistant's last turn; rejected is the
-    same with that turn's text replaced by the assistant's turn before it, a
-    reply to something else. Conversations with fewer than two assistant turns
-    have no rejected side.
+    Chosen is the conversation; rejected is the same with the text of the
+    assistant's last turn replaced. Where the assistant spoke before, its turn
+    before the last stands there, a reply to something else. Where it spoke once,
+    another conversation's last reply does: one of ``pool`` that are chosen by a
+    hash of their conversation, picked by a hash of this one; the empty text, if
+    there is no other conversation. Where it never spoke, both sides are equal.
+    Rows with a null id or turn are left out, a null text counts as empty; of
+    replies at one turn the greatest text is the last.
     """
-    rows = Intake(conversations, id_col, turn_col, role_col, text_col).narrow(**{id_col: id_col, turn_col: turn_col, role_col: role_col, text_col: text_col})
-    said = F.when(F.col(role_col) == "assistant", F.struct(F.col(turn_col).alias("turn"), F.col(text_col).alias("text")))
-    ends = rows.groupBy(F.col(id_col).alias("id_")).agg(F.slice(F.reverse(F.array_sort(F.collect_set(said))), 1, 2).alias("last"))
-    rows = rows.join(ends, F.col(id_col) == F.col("id_")).where((F.size("last") > 0) & (F.col(turn_col) <= F.col("last")[0]["turn"]))
-    names = [id_col, turn_col, role_col, text_col]
-    swapped = F.when((F.col(turn_col) == F.col("last")[0]["turn"]) & (F.col(role_col) == "assistant"), F.col("last")[1]["text"]).otherwise(F.col(text_col))
-    return rows.select(*names), rows.where(F.size("last") > 1).select(id_col, turn_col, role_col, swapped.alias(text_col))
-
-
-def preference_sql() -> str:
+    rows = Intake(conversations, id_col, turn_col, role_col, text_col).narrow(id=id_col, turn=turn_col, role=role_col, text=text_col).where("id IS NOT NULL AND turn IS NOT NULL")
+    rows = rows.select("id", "turn", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
+    said = F.when(F.col("role") == "assistant", F.struct("turn", "text"))
+    ends = rows.groupBy(F.col("id").alias("of")).agg(F.slice(F.reverse(F.array_sort(F.collect_list(said))), 1, 2).alias("last"))
+    key = F.col("of").cast("string")
+    # At most ``pool`` rows pass through the one window without a key.
+    donors = ends.where(F.size("last") > 0).select(F.md5(key).alias("h"), "of", F.get("last", F.lit(0))["text"].alias("given")).orderBy("h", "of").limit(pool)
+    donors = donors.withColumn("k", F.row_number().over(Window.orderBy("h", "of")) - 1).drop("h")
+    many = donors.agg(F.count(F.lit(1)).alias("many"))
+    needy = ends.where(F.size("last") == 1).select("of", F.conv(F.substring(F.md5(F.concat(F.lit("reject|"), key)), 1, 8), 16, 10).cast("long").alias("n")).crossJoin(many)
+    one, two = (donors.toDF(f"of{i}", f"given{i}", f"k{i}") for i in (1, 2))
+    needy = needy.join(one, F.col("n") % F.col("many") == F.col("k1"), "left").join(two, (F.col("n") + 1) % F.col("many") == F.col("k2"), "left")
+    lent = needy.select(F.col("of").alias("to"), F.when(F.col("of1") != F.col("of"), F.col("given1")).when(F.col("of2") != F.col("of"), F.col("given2")).otherwise("").alias("lent"))
+    ends = ends.join(lent, F.col("of") == F.col("to"), "left").select("of", F.get("last", F.lit(0)).alias("end"), F.coalesce(F.get("last", F.lit(1))["text"], "lent").alias("other"))
+    both = rows.join(ends, F.col("id") == F.col("of"))
+    at = (F.col("role") == "assistant") & (F.col("turn") == F.col("end.turn")) & (F.col("text") == F.col("end.text"))
+    names = (id_col, turn_col, role_col, text_col)
+    return rows.toDF(*names), both.select("id", "turn", "role", F.when(at, F.col("other")).otherwise(F.col("text"))).toDF(*names)
+
+
+def preference_sql(pool: int = 1024) -> str:
     return f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS k
       FROM c WHERE role = 'assistant'),
-e AS (SELECT a.conv_id, a.turn AS last, b.text AS stale FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.k = 1 AND b.k = 2),
+d AS (SELECT conv_id AS whose, text AS given, row_number() OVER (ORDER BY md5(CAST(conv_id AS VARCHAR)), conv_id) - 1 AS k FROM r WHERE k = 1),
+q AS (SELECT * FROM d WHERE k < {pool}),
+e AS (SELECT a.conv_id, a.turn AS last, a.text AS said,
+             coalesce(b.text, CASE WHEN x.whose <> a.conv_id THEN x.given WHEN y.whose <> a.conv_id THEN y.given ELSE '' END) AS other
+      FROM (SELECT *, CAST('0x' || substr(md5('reject|' || CAST(conv_id AS VARCHAR)), 1, 8) AS BIGINT) AS n FROM r WHERE k = 1) a
+      CROSS JOIN (SELECT count(*) AS many FROM q) m
+      LEFT JOIN r b ON a.conv_id = b.conv_id AND b.k = 2
+      LEFT JOIN q x ON x.k = a.n % m.many LEFT JOIN q y ON y.k = (a.n + 1) % m.many),
 t AS (SELECT c.conv_id, c.turn, c.role, c.text AS ta,
-             CASE WHEN c.turn = e.last AND c.role = 'assistant' THEN e.stale ELSE c.text END AS tb,
+             CASE WHEN c.role = 'assistant' AND c.turn = e.last AND c.text = e.said THEN e.other ELSE c.text END AS tb,
              row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn, c.role, c.text) AS i
-      FROM c JOIN e ON c.conv_id = e.conv_id AND c.turn <= e.last),
+      FROM c LEFT JOIN e ON c.conv_id = e.conv_id),
 p AS (SELECT conv_id, coalesce(min(i) FILTER (ta <> tb) - 1, count(*)) AS n FROM t GROUP BY 1),
 x AS (SELECT t.*, p.n, '{START}' || role || chr(10) || ta || '{END}' || chr(10) AS sa,
              '{START}' || role || chr(10) || tb || '{END}' || chr(10) AS sb,

@@ -20,7 +20,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = preference.preference_format(*preference.stale_reply(table(spark, sf_dir, "conversations")))
+    made = preference.preference_format(*preference.rejected_sides(table(spark, sf_dir, "conversations")))
     # Ranges as text, which reads alike from any engine.
     spelled = {c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"], x["stop"])), " ") for c in ("chosen_mask", "rejected_mask")}
     return made.withColumns(spelled)

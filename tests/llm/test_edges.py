@@ -54,7 +54,13 @@ def test_preference(spark, none):
     got = preference.preference_format(a, b).collect()
     assert len(got) == 1 and got[0]["n_prompt"] == 1 and got[0]["rejected"] == "" and got[0]["rejected_mask"] == []
     assert preference.preference_format(a.limit(0), b).count() == 0
-    assert preference.preference_format(*preference.stale_reply(a)).count() == 0
+    # Nobody replies in 1 and 3, so both sides are equal there.
+    got = {r["pair_id"]: r for r in preference.preference_format(*preference.rejected_sides(a)).collect()}
+    assert set(got) == {1, 3} and all(r["chosen"] == r["rejected"] == "" for r in got.values()) and got[1]["n_prompt"] == 3
+    one = a.limit(0).union(spark.createDataFrame([(4, 0, "user", "q", "", ""), (4, 1, "assistant", "r", "", ""), (4, 2, "user", "thanks", "", "")], schema))
+    r = preference.preference_format(*preference.rejected_sides(one)).first()
+    assert r["n_prompt"] == 1 and r["rejected"].startswith("<|im_start|>assistant\n<|im_end|>") and r["chosen"].endswith("thanks<|im_end|>\n")
+    assert preference.preference_format(*preference.rejected_sides(a.limit(0))).count() == 0
 
 
 def test_token_counts(odd, none):

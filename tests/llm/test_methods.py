@@ -120,6 +120,18 @@ def test_preference_prefix_and_mask(spark):
     assert [r["rejected"][m["start"] : m["stop"]] for m in r["rejected_mask"]] == ["bad<|im_end|>"]
 
 
+def test_every_conversation_and_turn_has_a_side(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    turns = duckdb.connect().execute("SELECT conv_id, count(*), max(turn) FILTER (role = 'assistant') FROM '/root/testdata/sf0.01/conversations.parquet' GROUP BY 1").fetchall()
+    got = {r["pair_id"]: r for r in preference.preference_format(*preference.rejected_sides(df)).collect()}
+    assert set(got) == {c for c, _, _ in turns}
+    for c, n, reply in turns:
+        r = got[c]
+        for side in ("chosen", "rejected"):
+            assert (r["prompt"] + r[side]).count("<|im_start|>") == n
+        assert (r["chosen"] != r["rejected"]) == (reply is not None)
+
+
 def test_counts_equal_the_tokenizers(docs):
     import tiktoken
 
