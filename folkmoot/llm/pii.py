@@ -8,10 +8,13 @@ covered by segments of one token.
 
 The weights are fitted here, by the gradient of the exact conditional
 likelihood, on sentences made from templates with a seed; no text of the corpus
-is used. A text is searched whole. An entity holds a digit, an at sign or a long
-run of capitals and is at most ``REACH`` characters long, so that far from any
-of those everything is outside; only the regions around them are decoded, with
-the same result as decoding the text at once.
+is used. A text is searched whole. An entity holds a digit, an at sign, a long
+run of letters and digits, a private key's armour or the assignment of a secret,
+and is at most ``REACH`` characters and ``LONGEST`` tokens long, so that far from
+any of those everything is outside; only the regions around them are decoded,
+with the same result as decoding the text at once. An unbroken run of 32 letters,
+digits, dashes and underscores or more, and an armoured key, is one token and
+counts as ``COUNTED`` characters, so keys of any length are found whole.
 """
 
 from __future__ import annotations
@@ -30,13 +33,15 @@ from folkmoot.llm.common import Intake
 
 OUTSIDE = 0
 KINDS = ("outside", "email", "phone", "ip", "card", "secret", "national_id", "iban")
-REACH, LONGEST, SPACES = 80, 24, 8
-TRIGGER = re.compile(r"\d|@|[A-Z0-9]{16,}")
-TOKEN = re.compile(r"[^\W_]+|\s+|.", re.S)
-OPEN, CLOSE = set("+(\"'"), set(")\"'")
+REACH, LONGEST, SPACES, COUNTED = 80, 24, 8, 24
 ASSIGNED = r"(?:password|passwd|pwd|pass|token|secret|api[_-]?key|apikey|access[_-]?key|auth)"
+PEM = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:(?!-----).)*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"
+RUN = r"[A-Za-z0-9_-]{32,}"
+TRIGGER = re.compile(rf"{PEM}|{RUN}|\d|@|[A-Z0-9]{{16,}}|(?i:{ASSIGNED})\s{{0,8}}[=:]", re.S)
+TOKEN = re.compile(rf"{PEM}|{RUN}|[^\W_]+|\s+|.", re.S)
+OPEN, CLOSE = set("+(\"'"), set(")\"'")
 SHAPES = [
-    (name, re.compile(p, re.I if name in ("assign", "assign_quoted") else 0))
+    (name, re.compile(p, re.I if name in ("assign", "assign_quoted") else re.S if name == "pem" else 0))
     for name, p in (
         ("email", r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}"),
         ("email_host", r"[\w.%+-]+@[\w-]+"),
@@ -56,6 +61,8 @@ SHAPES = [
         ("assign", ASSIGNED + r"\s*[=:]\s*[\w.+/-]{8,}"),
         ("assign_quoted", ASSIGNED + r"\s*[=:]\s*([\"'])[^\"'\s]{8,}\1"),
         ("hex", r"[0-9a-f]{16,}"),
+        ("pem", PEM),
+        ("signed_token", r"eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}"),
         ("date", r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}"),
         ("time", r"\d{1,2}:\d{2}(?::\d{2})?"),
         ("word", r"[^\W\d_]+"),
@@ -143,7 +150,7 @@ def token_kind(t: str) -> int:
         return 1
     if t.isalpha():
         return 0
-    return 2 if t[0].isalnum() else 4 if t == "@" else 5
+    return 2 if t[0].isalnum() or len(t) > 1 else 4 if t == "@" else 5
 
 
 def regions(text: str) -> list[tuple[int, int]]:
@@ -158,14 +165,18 @@ def regions(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _inner(c: str) -> bool:
+    return c.isalnum() or c in "_-"
+
+
 class Region:
     """Tokens of a stretch of text and the candidate segments over them."""
 
     def __init__(self, text: str, start: int, stop: int):
         # Whole tokens at both ends, so that a stretch never begins or ends within one.
-        while start and text[start - 1].isalnum() and text[start].isalnum() and not text[start].isspace():
+        while start and _inner(text[start - 1]) and _inner(text[start]):
             start -= 1
-        while stop < len(text) and text[stop - 1].isalnum() and text[stop].isalnum():
+        while stop < len(text) and _inner(text[stop - 1]) and _inner(text[stop]):
             stop += 1
         self.at, self.kinds = [], []
         hot = []
@@ -173,8 +184,9 @@ class Region:
             t = m.group()
             self.at.append(m.start())
             self.kinds.append(token_kind(t))
-            hot.append(bool(TRIGGER.search(t)))
+            hot.append(bool(TRIGGER.search(t)) or (t[0] in "=:" and bool(BEFORE_ASSIGN.search(text, max(0, m.start() - 24), m.end()))))
         n = len(self.at)
+        room = np.concatenate([[0], np.cumsum([min(b - a, COUNTED) for a, b in zip(self.at, [*self.at[1:], stop])])]).tolist()
         self.at.append(stop)
         self.spans, self.features = [], []
         soon = [n] * (n + 1)  # the first hot token at or after i
@@ -191,7 +203,7 @@ class Region:
                     spaces += 1
                     if spaces > SPACES or "\n" in text[self.at[last] : b]:
                         break
-                if b - a > REACH:
+                if room[j] - room[i] > REACH:
                     break
                 if last < soon[i] or self.kinds[last] in (3, 4) or (self.kinds[last] == 5 and text[self.at[last]] not in CLOSE):
                     continue
@@ -262,6 +274,8 @@ def _entity(rng: random.Random) -> tuple[str, str]:
     d = lambda n: _digits(rng, n)
     hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     caps = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n))
+    small = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
     octets = ".".join(str(rng.randint(0, 255)) for _ in range(4))
     card = rng.choice("3456") + d(rng.choice((12, 14, 15, 15, 15)))
     key = rng.choice(("password", "token", "secret", "api_key", "pwd"))
@@ -270,7 +284,7 @@ def _entity(rng: random.Random) -> tuple[str, str]:
         "phone": lambda: rng.choice((f"+{rng.randint(1, 99)} ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{rng.randint(1, 99)} {d(3)} {d(3)} {d(4)}", f"+{rng.randint(1, 99)}-{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{rng.randint(1, 99)} " + " ".join(d(2) for _ in range(rng.randint(4, 5))))),
         "ip": lambda: octets,
         "card": lambda: rng.choice((card, f"4{d(3)} {d(4)} {d(4)} {d(4)}", f"5{d(3)}-{d(4)}-{d(4)}-{d(4)}", "4" + d(15), d(16))),
-        "secret": lambda: rng.choice((f'{key} = "{hexa(rng.choice((24, 32, 40)))}"', f"{key}={hexa(rng.choice((16, 18, 20)))}", f"{key}: {hexa(20)}", "AKIA" + caps(16), "AKIA" + caps(16), "ghp_" + hexa(30))),
+        "secret": lambda: rng.choice((f'{key} = "{hexa(rng.choice((24, 32, 40)))}"', f"{key}={hexa(rng.choice((16, 18, 20)))}", f"{key}: {hexa(20)}", "AKIA" + caps(16), "AKIA" + caps(16), "ghp_" + hexa(30), f"{key}={small(rng.randint(8, 20))}", f"{key}: {small(rng.randint(8, 20))}", f'{key} = "{hexa(rng.choice((64, 96, 128)))}"', f"{key}: {hexa(rng.choice((64, 96)))}", f"eyJ{mixed(30)}.eyJ{mixed(60)}.{mixed(43)}", f"-----BEGIN {rng.choice(('', 'RSA ', 'EC '))}PRIVATE KEY-----\n{mixed(64)}\n{mixed(64)}\n{mixed(20)}==\n-----END PRIVATE KEY-----")),
         "national_id": lambda: f"{d(3)}-{d(2)}-{d(4)}",
         "iban": lambda: rng.choice(("DE", "FR", "ES", "GB")) + d(2) + rng.choice(("", " ")).join(["", rng.choice((d(4), d(4), caps(4))), *[d(4) for _ in range(rng.choice((3, 3, 4, 6)))], d(rng.choice((2, 2, 3)))]),
     }
@@ -280,7 +294,7 @@ def _entity(rng: random.Random) -> tuple[str, str]:
 
 def _decoy(rng: random.Random) -> str:
     d = lambda n: _digits(rng, n)
-    return rng.choice((f"{rng.randint(1, 9)}.{rng.randint(0, 9)}", str(rng.randint(1, 3000)), f"{rng.randint(1, 20)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}", f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", f"{rng.randint(1, 12)}:{rng.randint(10, 59)}", f"{rng.randint(1, 900)},{d(3)}", f"@{_word(rng)}", d(rng.randint(5, 11)), f"No. {d(5)}", f"{_word(rng)}{d(2)}", f"{rng.randint(1, 999)}%", f"v{rng.randint(1, 9)}.{d(1)}", f"password reset {d(2)}", f"{d(3)}-{d(4)}", f"999.{rng.randint(256, 999)}.{d(3)}.{d(1)}", "THE" + "AND" * 6 if rng.random() < 0.3 else d(20)))
+    return rng.choice((f"{rng.randint(1, 9)}.{rng.randint(0, 9)}", str(rng.randint(1, 3000)), f"{rng.randint(1, 20)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}", f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", f"{rng.randint(1, 12)}:{rng.randint(10, 59)}", f"{rng.randint(1, 900)},{d(3)}", f"@{_word(rng)}", d(rng.randint(5, 11)), f"No. {d(5)}", f"{_word(rng)}{d(2)}", f"{rng.randint(1, 999)}%", f"v{rng.randint(1, 9)}.{d(1)}", f"password reset {d(2)}", f"{rng.choice(('token', 'secret', 'pass'))}: {_word(rng)[:6]}", "_" * 40, "-" * 40, "x" * 40, f"{_word(rng)}-{_word(rng)}-{_word(rng)}-{_word(rng)}-{_word(rng)}-{_word(rng)}-{_word(rng)}", f"{d(3)}-{d(4)}", f"999.{rng.randint(256, 999)}.{d(3)}.{d(1)}", "THE" + "AND" * 6 if rng.random() < 0.3 else d(20)))
 
 
 def sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
@@ -303,7 +317,7 @@ def sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     return text, spans
 
 
-def fit(sentences: int = 250, epochs: int = 12, seed: int = 13, rate: float = 0.3, l2: float = 1e-3) -> Crf:
+def fit(sentences: int = 350, epochs: int = 12, seed: int = 13, rate: float = 0.3, l2: float = 1e-3) -> Crf:
     """Maximise the conditional likelihood of made sentences' segmentations by AdaGrad, one sentence at a time."""
     rng = random.Random(seed)
     kinds = len(KINDS)
