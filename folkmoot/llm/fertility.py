@@ -1,26 +1,30 @@
 """Quality rules from tokeniser fertility.
 
-A public vocabulary made for ordinary text spends few tokens on it. Per text:
-characters a token, the share of tokens that are bytes spelled out, and the
-entropy of tokens within blocks of equal length (so that long texts compare
-with short ones). What is usual differs by language, so the rejection bands are
-quantiles of the whole corpus, language by language, or by script where the
-language isn't known.
+Public vocabularies made for ordinary text spend few tokens on it. Per text and
+vocabulary, one of pieces with byte fallback and one of byte pairs: characters a
+token, the share of tokens that are bytes spelled out (of byte pairs: that are no
+whole characters), and the entropy of tokens within blocks of equal length (so
+that long texts compare with short ones). What is usual differs by language and,
+in short texts, by length, so the rejection bands are quantiles of the whole
+corpus, language by language, or by script where the language isn't known; texts
+shorter than a block have bands of their own for every doubling of their length.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folkmoot.llm.common import TOKENIZERS, Intake, settle, vocabulary
+from folkmoot.llm.common import TOKENIZERS, Intake, byte_ranks, kept, pretoken_pattern, settle, vocabulary
 
 BLOCK = 128
 MEASURES = ("chars_per_token", "byte_share", "entropy")
+SECOND = tuple(f"multi_{m}" for m in MEASURES)
 SCRIPTS = (
     ("latin", "\\p{IsLatin}"),
     ("cyrillic", "\\p{IsCyrillic}"),
@@ -73,89 +77,103 @@ def block_entropies(ids: list[np.ndarray], block: int = BLOCK) -> np.ndarray:
     return out
 
 
-_processors: dict[str, tuple] = {}
+def processors(model: str, pairs: str, folder: str):
+    """[(encode, whether an id is bytes spelled out)] of both vocabularies, kept as long as the process has no other work."""
 
-
-def processor(path: str):
-    if path not in _processors:
+    def make():
         import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        _processors[path] = sp, np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
-    return _processors[path]
-
-
-def measures(df: DataFrame, model: str = "piece_bpe_32k.model", folder: str = TOKENIZERS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", slice_rows: int = 256) -> DataFrame:
-    """(doc_id, grp, n_tokens, chars_per_token, byte_share, entropy) of every row; null measures where they can't be taken."""
+        import tiktoken
+
+        sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary(model, folder))
+        ranks = byte_ranks(vocabulary(pairs, folder))
+        broken = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        for token, i in ranks.items():
+            try:
+                token.decode()
+            except UnicodeDecodeError:
+                broken[i] = True
+        enc = tiktoken.Encoding("pairs", pat_str=pretoken_pattern(folder), mergeable_ranks=ranks, special_tokens={})
+        pieces = lambda texts: [np.array(x, dtype=np.int32) for x in sp.encode(texts, num_threads=1)]
+        merged = lambda texts: [np.array(enc.encode_ordinary(t), dtype=np.int32) for t in texts]
+        return [(pieces, np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])), (merged, broken)]
+
+    return kept(("fertility", model, pairs, folder), make)
+
+
+def measured_by(texts: list[str], encode, is_byte: np.ndarray, spelled_breaks: bool) -> tuple[np.ndarray, ...]:
+    """Numbers of tokens and the three measures, nan where they can't be taken."""
+    ids = encode(texts)
+    n = np.array([len(x) for x in ids])
+    chars = np.array([len(t) for t in texts])
+    spelled = np.array([int(is_byte[x].sum()) for x in ids])
+    if spelled_breaks:
+        # Line breaks are spelled out as bytes by design and say nothing of the text.
+        spelled = np.maximum(spelled - np.array([t.count("\n") for t in texts]), 0)
+    some = np.maximum(n, 1)
+    return n, np.where(n > 0, np.round(chars / some, 3), np.nan), np.where(n > 0, np.round(spelled / some, 4), np.nan), np.round(block_entropies(ids), 4)
+
+
+def measures(df: DataFrame, model: str = "piece_bpe_32k.model", pairs: str = "byte_bpe_multi_50k.tiktoken", folder: str = TOKENIZERS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", slice_rows: int = 256) -> DataFrame:
+    """(doc_id, grp, n_tokens, three measures of either vocabulary) of every row; null measures where they can't be taken."""
     took = Intake(df, id_col, text_col, lang_col)
     lang = F.lower(F.trim(took[lang_col].cast("string")))
     text = took[text_col].cast("string")
     grp = F.when(F.coalesce(lang, F.lit("")) != "", F.concat(F.lit("lang:"), lang)).otherwise(F.concat(F.lit("script:"), F.coalesce(script(text), F.lit("none"))))
     rows = took.rows.select(took[id_col].alias("doc_id"), text.alias("text"), grp.alias("grp"))
-    path = vocabulary(model, folder)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sp, is_byte = processor(path)
+        both = processors(model, pairs, folder)
         for whole in batches:
             for at in range(0, len(whole), slice_rows):
                 pdf = whole.iloc[at : at + slice_rows].reset_index(drop=True)
                 texts = [t or "" for t in pdf["text"]]
-                ids = [np.array(x, dtype=np.int32) for x in sp.encode(texts, num_threads=1)]
-                n = np.array([len(x) for x in ids])
-                chars = np.array([len(t) for t in texts])
-                spelled = np.array([int(is_byte[x].sum()) for x in ids])
-                # Line breaks are spelled out as bytes by design and say nothing of the text.
-                breaks = np.array([t.count("\n") for t in texts])
-                some = np.maximum(n, 1)
+                n, *first = measured_by(texts, *both[0], True)
+                _, *second = measured_by(texts, *both[1], False)
                 null = pdf["text"].isna().to_numpy()
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pdf["doc_id"],
-                        "grp": pdf["grp"],
-                        "n_tokens": pd.array(np.where(null, 0, n), dtype="Int64").copy(),
-                        "chars_per_token": np.where(n > 0, np.round(chars / some, 3), np.nan),
-                        "byte_share": np.where(n > 0, np.round(np.maximum(spelled - breaks, 0) / some, 4), np.nan),
-                        "entropy": np.round(block_entropies(ids), 4),
-                    }
-                )
-
-    got = rows.mapInPandas(measure, f"doc_id {kind}, grp string, n_tokens long, chars_per_token double, byte_share double, entropy double")
-    return got.select("doc_id", "grp", "n_tokens", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in MEASURES])
-
-
-def bands(measured: DataFrame, reach: float = 4.0, least: tuple[float, float, float] = (0.1, 0.02, 0.02), min_tokens: int = BLOCK) -> DataFrame:
-    """(band_grp, lo_.., hi_..): for every group, quartiles widened by ``reach`` times their distance, which counts as ``least`` at least.
-
-    Texts of under ``min_tokens`` aren't judged and don't count. Measures are
-    rounded, so the exact percentiles keep a bounded number of values.
+                out = {"doc_id": pdf["doc_id"], "grp": pdf["grp"], "n_tokens": pd.array(np.where(null, 0, n), dtype="Int64").copy()}
+                yield pd.DataFrame(out | dict(zip(MEASURES + SECOND, first + second)))
+
+    got = rows.mapInPandas(measure, f"doc_id {kind}, grp string, n_tokens long, " + ", ".join(f"{c} double" for c in MEASURES + SECOND))
+    return got.select("doc_id", "grp", "n_tokens", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in MEASURES + SECOND])
+
+
+def length_class() -> Column:
+    """Of texts of a block or more 7 for all, else the doublings of their number of tokens."""
+    return F.least(F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))).cast("int"), F.lit(int(math.log2(BLOCK))))
+
+
+def bands(measured: DataFrame, reach: float = 4.0, least: tuple[float, float, float] = (0.1, 0.02, 0.02)) -> DataFrame:
+    """(band_grp, band_len, lo_.., hi_..): for every group and class of length, quartiles widened by ``reach`` times their distance, which counts as ``least`` at least.
+
+    Texts without tokens don't count. Measures are rounded, so the exact
+    percentiles keep a bounded number of values.
     """
-    q = measured.where(F.col("n_tokens") >= min_tokens).groupBy(F.col("grp").alias("band_grp")).agg(*[F.percentile(c, [0.25, 0.75]).alias(c) for c in MEASURES])
-    out = ["band_grp"]
-    for c, floor in zip(MEASURES, least):
+    q = measured.where(F.col("n_tokens") > 0).groupBy(F.col("grp").alias("band_grp"), length_class().alias("band_len")).agg(*[F.percentile(c, [0.25, 0.75]).alias(c) for c in MEASURES + SECOND])
+    out = ["band_grp", "band_len"]
+    for c, floor in zip(MEASURES + SECOND, 2 * least):
         wide = reach * F.greatest(F.col(c)[1] - F.col(c)[0], F.lit(floor))
         out += [(F.col(c)[0] - wide).alias(f"lo_{c}"), (F.col(c)[1] + wide).alias(f"hi_{c}")]
     return q.select(*out)
 
 
-def fertility_rules(df: DataFrame, reach: float = 4.0, min_tokens: int = BLOCK, **columns) -> DataFrame:
-    """(doc_id, grp, n_tokens, three measures, reason, keep) of every row.
+def fertility_rules(df: DataFrame, reach: float = 4.0, **columns) -> DataFrame:
+    """(doc_id, grp, n_tokens, three measures of either vocabulary, reason, keep) of every row.
 
     ``reason`` names the first rule that a text breaks: ``empty`` (null or no
     tokens), ``chars_per_token`` outside its band, ``byte_share`` above it,
-    ``entropy`` below it; null if none, and then ``keep``. Texts of under
-    ``min_tokens`` are too short to measure and break none but the first. Null
-    languages are judged by script. Rows that repeat are judged alike and count
-    each time; null ids stay.
+    ``entropy`` below it, then the same of byte pairs, ``multi_..``; null if none,
+    and then ``keep``. Texts shorter than a block of ``BLOCK`` tokens have no
+    entropy. Null languages are judged by script. Rows that repeat are judged
+    alike and count each time; null ids stay.
     """
     measured = settle(measures(df, **columns))
-    judged = measured.join(bands(measured, reach, min_tokens=min_tokens), F.col("grp") == F.col("band_grp"), "left")
-    long = F.col("n_tokens") >= min_tokens
-    outside = (F.col("chars_per_token") < F.col("lo_chars_per_token")) | (F.col("chars_per_token") > F.col("hi_chars_per_token"))
-    reason = (
-        F.when(F.coalesce(F.col("n_tokens"), F.lit(0)) == 0, "empty")
-        .when(long & outside, "chars_per_token")
-        .when(long & (F.col("byte_share") > F.col("hi_byte_share")), "byte_share")
-        .when(long & (F.col("entropy") < F.col("lo_entropy")), "entropy")
-    )
-    return judged.select("doc_id", "grp", "n_tokens", *MEASURES, reason.alias("reason")).withColumn("keep", F.col("reason").isNull())
+    judged = measured.join(bands(measured, reach), (F.col("grp") == F.col("band_grp")) & (length_class() == F.col("band_len")), "left")
+    reason = F.when(F.coalesce(F.col("n_tokens"), F.lit(0)) == 0, "empty")
+    for chars, share, entropy in (MEASURES, SECOND):
+        reason = (
+            reason.when((F.col(chars) < F.col(f"lo_{chars}")) | (F.col(chars) > F.col(f"hi_{chars}")), chars)
+            .when(F.col(share) > F.col(f"hi_{share}"), share)
+            .when(F.col(entropy) < F.col(f"lo_{entropy}"), entropy)
+        )
+    return judged.select("doc_id", "grp", "n_tokens", *MEASURES, *SECOND, reason.alias("reason")).withColumn("keep", F.col("reason").isNull())
