@@ -251,3 +251,9 @@ def fallback_summary(c: Column | str) -> Column:
     """At most 120 characters, cut at a space."""
     clean = clean_entities(c)
     return F.when(F.length(clean) <= 120, clean).otherwise(F.concat(F.regexp_replace(F.substring(clean, 1, 117), r" [^ ]*$", ""), F.lit("...")))
+
+
+def item_summary(c: Column | str) -> Column:
+    """A cached summary as its fields; an empty one where the value is plain text of an older kind, another value or missing."""
+    whole = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.when(F.trim(whole).startswith("{"), F.from_json(whole, "description array<string>, chips array<struct<category:string,text:string>>")), F.struct(F.lit(None).cast("array<string>").alias("description"), F.lit(None).cast("array<struct<category:string,text:string>>").alias("chips")))

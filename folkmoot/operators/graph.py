@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,10 +10,19 @@ from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Checkpoint in the session's ``spark.checkpoint.dir``, which all executors share; a temporary folder only where that is unset."""
+    """Checkpoint in the session's ``spark.checkpoint.dir``, which all executors share.
+
+    A temporary folder is made only where that is unset and one process does all
+    work; on a cluster a missing setting is an error.
+    """
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folkmoot-"))
+    if not sc.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir isn't set; it must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="folkmoot-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 

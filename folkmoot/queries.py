@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folkmoot import case_queries
 from folkmoot.functions import classify, match
 from folkmoot.functions import text as tx
 from folkmoot.operators import diff, graph, intervals, rank, store
@@ -99,14 +100,13 @@ _HIER = """SELECT o_orderkey AS m, 0 AS pos, o_orderkey || '.' AS section, CASE
 
 
 @query(f"""
-WITH i AS ({_HIER}), p AS (SELECT m, section, s, e FROM i WHERE s IS NOT NULL AND pos = 0)
+WITH i AS ({_HIER}), p AS (SELECT o_orderkey AS m, o_orderkey * 1000 AS s, o_orderkey * 1000 + 500 AS e FROM orders WHERE o_orderkey % 5 <> 0)
 SELECT i.m AS meeting_id, i.pos, coalesce(i.s, p.s) AS time_start_ms, CASE WHEN i.s IS NOT NULL THEN i.e ELSE p.e END AS time_end_ms, i.s IS NULL AND p.s IS NOT NULL AS timestamp_inherited
-FROM i LEFT JOIN p ON i.m = p.m AND i.section <> p.section""")
+FROM i LEFT JOIN p ON i.m = p.m AND i.pos <> 0""")
 def hierarchy_inherit(spark, d):
     """Items without a span take their section's."""
-    table(spark, d, "orders").createOrReplaceTempView("orders")
-    table(spark, d, "lineitem").createOrReplaceTempView("lineitem")
-    items = spark.sql(_HIER).select(F.col("m").alias("meeting_id"), "pos", F.col("section").alias("section_number"), F.col("s").alias("time_start_ms"), F.col("e").alias("time_end_ms"), F.lit(False).alias("timestamp_inherited"))
+    named = _HIER.replace("FROM orders", f"FROM parquet.`{d}/orders.parquet`").replace("FROM lineitem", f"FROM parquet.`{d}/lineitem.parquet`")
+    items = spark.sql(named).select(F.col("m").alias("meeting_id"), "pos", F.col("section").alias("section_number"), F.col("s").alias("time_start_ms"), F.col("e").alias("time_end_ms"), F.lit(False).alias("timestamp_inherited"))
     return intervals.inherit_spans(items).select("meeting_id", "pos", "time_start_ms", "time_end_ms", "timestamp_inherited")
 
 
@@ -224,15 +224,15 @@ def forward_shift(spark, d):
 
 @query("""
 WITH a AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: NOT list_contains(['and','are','for','from','that','the','this','was','with'], w))) AS w FROM benchmark),
-t AS (SELECT doc_id, w FROM (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(substr(text, 1, 400)), '[a-z]{3,}'),
+t AS (SELECT doc_id, w FROM (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'),
         lambda w: NOT list_contains(['and','are','for','from','that','the','this','was','with','city','committee','council','policy','report','standing'], w))) AS w FROM documents) WHERE len(w) > 0),
 s AS (SELECT item_id, doc_id, len(list_intersect(a.w, t.w))::DOUBLE / len(a.w) AS score FROM a, t WHERE len(a.w) > 0)
 SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM s WHERE score >= 0.3) WHERE n = 1""")
 def token_overlap_match(spark, d):
-    """The text whose beginning holds most of an item's words. Words meet in an equi join, so nothing is crossed."""
+    """The text that holds most of an item's words. Words meet in an equi join, so nothing is crossed."""
     words = F.array_except(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0))), F.array(*map(F.lit, match.PLAIN_STOPS)))
     a = table(spark, d, "benchmark").select("item_id", words.alias("w"))
-    t = table(spark, d, "documents").select("doc_id", F.explode(match.title_words(F.substring("text", 1, 400))).alias("word"))
+    t = table(spark, d, "documents").select("doc_id", F.explode(match.title_words("text")).alias("word"))
     shared = a.select("item_id", F.size("w").alias("n"), F.explode("w").alias("word")).join(t, "word").groupBy("item_id", "doc_id", "n").count()
     scored = shared.withColumn("score", F.col("count").cast("double") / F.col("n")).where("score >= 0.3")
     return rank.top_per_group(scored, ["item_id"], F.col("score"), ["doc_id"], 1).select("item_id", "doc_id", F.round("score", 6).alias("score"))
@@ -359,12 +359,12 @@ def money(spark, d):
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, trim(trim(regexp_replace(substr(text, 1, 150), '\s+', ' ', 'g')), ',;:') AS t FROM documents),
+WITH t AS (SELECT doc_id, trim(trim(regexp_replace(text, '\s+', ' ', 'g')), ',;:') AS t FROM documents),
 c AS (SELECT *, list_transform(['. ', '! ', '? ', '; ', ', '], lambda x: CASE WHEN strpos(reverse(substr(t, 1, 100)), reverse(x)) > 0 THEN length(substr(t, 1, 100)) - strpos(reverse(substr(t, 1, 100)), reverse(x)) - 1 ELSE -1 END) AS cuts FROM t)
 SELECT doc_id, CASE WHEN length(t) <= 100 THEN t ELSE coalesce(rtrim(substr(t, 1, CAST(list_filter(cuts, lambda i: i > 20)[1] AS BIGINT)), ',;:'), '') END AS chip FROM c""")
 def trim_chip(spark, d):
     """T6."""
-    return table(spark, d, "documents").select("doc_id", tx.trim_to_chip(F.trim(F.regexp_replace(F.substring("text", 1, 150), r"\s+", " "))).alias("chip"))
+    return table(spark, d, "documents").select("doc_id", tx.trim_to_chip(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("chip"))
 
 
 @query("SELECT o_orderkey, CAST(date_trunc('week', CAST(o_orderdate AS DATE)) AS DATE) AS deadline, strftime(CAST(o_orderdate AS DATE), '%B %-d, %Y') AS readable, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || 'T12:00:00-06:00' AS updated FROM orders")
@@ -534,8 +534,8 @@ def hourly_rollup(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return _queries | case_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return _sql | case_queries.oracle_sql()

@@ -132,3 +132,19 @@ def meeting_json(meetings: DataFrame, items: DataFrame) -> DataFrame:
     per = items.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("pos", *[c for c in rest if c != "pos"])), lambda a, b: a["pos"] - b["pos"]).alias("agenda_items"))
     whole = meetings.join(per, "meeting_id", "left")
     return whole.select("meeting_id", F.to_json(F.struct(*whole.columns)).alias("json"))
+
+
+def meeting_pages(meetings: DataFrame, items: DataFrame) -> DataFrame:
+    """(meeting_id, html): a page of a meeting that lists its items and holds its data for scripts; nothing in the data can end the script."""
+    listed = items.groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("section_number", F.lit("")).alias("n"), F.coalesce("title", F.lit("")).alias("t")))).alias("rows"))
+    rows = F.array_join(F.transform("rows", lambda r: F.concat(F.lit("<li>"), escape(F.trim(F.concat_ws(" ", r["n"], r["t"]))), F.lit("</li>"))), "")
+    data = F.replace(F.col("json"), F.lit("</"), F.lit("<\\/"))
+    head = F.concat(escape(F.coalesce("title", F.lit(""))), F.lit(" - "), escape(F.coalesce("date", F.lit(""))))
+    whole = meeting_json(meetings, items).join(meetings.select("meeting_id", "title", "date"), "meeting_id").join(listed, "meeting_id", "left")
+    page = F.concat(F.lit('<!doctype html><html lang="en"><head><meta charset="utf-8"><title>'), head, F.lit("</title></head><body><h1>"), head, F.lit("</h1><ol>"), F.coalesce(rows, F.lit("")), F.lit('</ol><script type="application/json" id="meeting">'), data, F.lit("</script></body></html>"))
+    return whole.select("meeting_id", page.alias("html"))
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """A folder of text a meeting, written by the executors."""
+    pages.write.mode("overwrite").partitionBy("meeting_id").text(path)

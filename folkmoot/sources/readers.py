@@ -108,3 +108,8 @@ def golden(spark: SparkSession, path: str) -> DataFrame:
 
 def save_golden(results: DataFrame, path: str) -> None:
     results.drop("_source").orderBy("key").write.mode("overwrite").json(path)
+
+
+def in_memory(spark: SparkSession, meetings: list[tuple]) -> DataFrame:
+    """A listing of given meetings, for tests and tools; pages and kinds of meeting play no part."""
+    return spark.createDataFrame(meetings, schemas.MEETINGS)
