@@ -131,7 +131,7 @@ NAME_CASES = [
     ("M3", "jan wilgenhof", "welcome mr wilgunhof now", "fuzzy 0.458333"),
     ("M3", "ann lee", "this is ann lee here", "exact 0.400000"),
     ("M3", "ann lee", "nobody", None),
-    ("M4", "Saskatoon Police Service", None, "9"),
+    ("M4", "Riverton Police Service", None, "6"),
     ("M4", " ", None, None),
     ("M5", "Executive Director, The Salvation Army", None, "The Salvation Army"),
     ("M5", "Smith, Jones and Co", None, "Smith, Jones and Co"),
@@ -139,7 +139,7 @@ NAME_CASES = [
     ("J4", "RTS - A - B_Redacted(1).pdf", None, "rts - a - b"),
     ("J4w", "RTS - Jane Doe - Bridge Funding_Redacted.pdf", None, "bridge|funding"),
     ("J9", "Transit Fare Policy [CC2025-0402]", None, "transit|fare"),
-    ("J13", "bus riders of saskatoon and you are well", None, "Bus Riders of Saskatoon"),
+    ("J13", "bus riders of riverton and you are well", None, "Bus Riders of Riverton"),
 ]
 
 

@@ -71,11 +71,11 @@ CASES = [
     (lambda: M.phonetic(L("armstrong")), "V652"),
     (lambda: M.phonetic(L("wolfe")), "w41"),
     (lambda: M.phonetic(L("naytowhow")), "n3"),
-    (lambda: M.organization_color(L("Saskatoon Police Service")), 9),
+    (lambda: M.organization_color(L("Riverton Police Service")), 6),
     (lambda: M.organization_color(L(" ")), None),
     (lambda: M.clean_organization(L("Executive Director, The Salvation Army")), "The Salvation Army"),
     (lambda: M.clean_organization(L("Smith, Jones and Co")), "Smith, Jones and Co"),
-    (lambda: clean_heard_org(L("bus riders of saskatoon and you are well")), "Bus Riders of Saskatoon"),
+    (lambda: clean_heard_org(L("bus riders of riverton and you are well")), "Bus Riders of Riverton"),
     (lambda: M.file_key(L("RTS - A - B_Redacted(1).pdf")), "rts - a - b"),
     (lambda: M.file_words(L("RTS - Jane Doe - Bridge Funding_Redacted.pdf")), ["bridge", "funding"]),
     (lambda: M.keywords(L("Transit Fare Policy [CC2025-0402]")), ["transit", "fare"]),
