@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Iterable
 from difflib import SequenceMatcher
 from functools import lru_cache
+from heapq import nsmallest
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folkmoot.functions.text import text
+from folkmoot.functions.text import SHORT_STOPS, text
 
 CODES = {c: d for d, cs in {"1": "bfpv", "2": "cgjkqsxz", "3": "dt", "4": "l", "5": "mn", "6": "r"}.items() for c in cs}
 LONG_SURNAME = 7
@@ -20,6 +24,8 @@ TITLE_ENDS = (
     "owner president chair chairman chairperson chairwoman ceo cfo coo executive director manager administrator coordinator officer supervisor superintendent commissioner treasurer"
 ).split()
 WORDS = re.compile(r"[a-z'\-]+")
+LONG_WORDS = re.compile("[a-z]{3,}")
+STOPS = frozenset(SHORT_STOPS)
 
 
 @lru_cache(maxsize=100_000)
@@ -94,6 +100,35 @@ def name_tier(name: pd.Series, heard: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"tier": [g and g[0] for g in got], "at": [g and g[1] for g in got]})
 
 
+def said_words(s: str) -> list[str]:
+    """T11, the same as ``functions.text.tokens``."""
+    return [w for w in LONG_WORDS.findall(s.lower()) if w not in STOPS]
+
+
+def choose_sentences(parts: Iterable[str], title: str, k: int, min_len: int = 11) -> list[str]:
+    """The k sentences that say most; shorter ones than min_len aren't chosen, but their words count."""
+    long = [p for p in parts if len(p) >= min_len]
+    if len(long) <= k:
+        return long
+    counts: Counter[str] = Counter()
+    for p in parts:
+        counts.update(said_words(p))
+    titled, top, scored = set(said_words(title)), max(counts.values(), default=1), []
+    for i, s in enumerate(long):
+        if not (words := said_words(s)):
+            continue
+        freq = sum(counts[w] for w in words) / top / len(words)
+        overlap = len(titled.intersection(words)) / len(titled) if titled else 0.0
+        value = freq * 0.3 + 0.3 / (1.0 + math.log1p(i)) + overlap * 0.25 + (0.15 if 8 <= len(words) <= 30 else 0.075)
+        scored.append((-math.floor(value * 1e12 + 0.5), i))
+    return [long[i] for i in sorted(i for _, i in nsmallest(k, scored))]
+
+
+@F.pandas_udf(T.StringType())
+def best_sentences(parts: pd.Series, title: pd.Series, k: pd.Series) -> pd.Series:
+    return pd.Series([" ".join(choose_sentences(*x)) for x in zip(parts, title, k)], dtype="object")
+
+
 def clean_organization(c: Column | str) -> Column:
     """M5: without a job title in front of the first comma."""
     flat = F.trim(F.regexp_replace(text(c), r"(?U)\s+", " "))

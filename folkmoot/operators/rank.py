@@ -22,8 +22,8 @@ from folkmoot.functions.classify import (
     topic_summary,
     truth,
 )
-from folkmoot.functions.match import name_candidates, organization_color, organization_label
-from folkmoot.functions.text import clean_bullets, clean_entities, discussion_minutes, plainify, split_sentences, text, titleize, tokens
+from folkmoot.functions.match import best_sentences, name_candidates, organization_color, organization_label
+from folkmoot.functions.text import clean_bullets, clean_entities, discussion_minutes, plainify, split_sentences, text, titleize
 
 
 def minutes() -> Column:
@@ -170,35 +170,24 @@ def rank_by_names(items: DataFrame, slices: DataFrame, roster: Column | None = N
     return rows.select("meeting_id", "pos", "item_id", name_candidates("heard", roster).alias("names"), F.length("heard").alias("chars")).orderBy(F.desc(F.size("names")), "item_id")
 
 
-def extractive_summary(rows: DataFrame, key: list[str], body: str, title: str, k: int = 2) -> DataFrame:
-    """(key, summary): the k sentences of a text that say most, in the order of the text.
+def summary_of(body: Column | str, title: Column | str, k: int = 2) -> Column:
+    """The k sentences of a text that say most, in the order of the text.
 
-    Words are counted and scored by joins on key and word, as a lookup in a map
-    of a text's words would be a scan of it. The key must be unique and not
-    null. Ties go to the earlier sentence; a text of k sentences or fewer is its
-    own summary; null and blank texts give a blank.
+    Arrow batches, as counting a text's words takes a table of them: a lookup in
+    a map would be a scan of it, and joins on word shuffle many times the text.
+    Ties go to the earlier sentence; a text of k sentences or fewer is its own
+    summary; null and blank texts give a blank.
     """
-    texts = rows.select(*key, split_sentences(body, min_len=11).alias("all"), F.array_distinct(tokens(title)).alias("_title"), text(body).alias("_body"))
-    counts = texts.select(*key, F.explode(tokens("_body")).alias("w")).groupBy(*key, "w").agg(F.count(F.lit(1)).alias("c"))
-    counts = counts.withColumn("top", F.max("c").over(Window.partitionBy(*key)))
-    long = texts.where(F.size("all") > k)
-    said = long.select(*key, F.posexplode("all").alias("i", "s"))
-    used = said.select(*key, "i", F.explode(tokens("s")).alias("w")).groupBy(*key, "i", "w").agg(F.count(F.lit(1)).alias("m"))
-    titled = long.select(*key, F.explode("_title").alias("w"), F.lit(1).alias("in_title"))
-    freq = used.join(counts, [*key, "w"]).join(titled, [*key, "w"], "left")
-    per = freq.groupBy(*key, "i").agg((F.sum(F.col("m") * F.col("c").cast("double") / F.col("top")) / F.sum("m")).alias("freq"), F.sum("m").alias("n"), F.count("in_title").alias("shared"))
-    per = per.join(long.select(*key, F.size("_title").alias("words")), key)
-    overlap = F.when(F.col("words") > 0, F.col("shared") / F.col("words")).otherwise(0.0)
-    value = F.col("freq") * 0.3 + 0.3 / (1.0 + F.log1p("i")) + overlap * 0.25 + F.when(F.col("n").between(8, 30), 0.15).otherwise(0.075)
-    best = top_per_group(per.withColumn("score", F.round(value, 12)), key, F.col("score"), ["i"], k).select(*key, "i")
-    glued = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), " ")
-    picked = said.join(best, [*key, "i"]).groupBy(*key).agg(glued.alias("best"))
-    return texts.join(picked, key, "left").select(*key, F.when(F.size("all") <= k, F.array_join("all", " ")).otherwise(F.coalesce("best", F.lit(""))).alias("summary"))
+    whole, name = F.make_valid_utf8(text(body)), F.make_valid_utf8(text(title))  # else Arrow fails on bytes that aren't text
+    return best_sentences(split_sentences(whole), name, F.lit(k))
+
+
+def extractive_summary(rows: DataFrame, key: list[str], body: str, title: str, k: int = 2) -> DataFrame:
+    """(key, summary) of each row by itself."""
+    return rows.select(*key, summary_of(body, title, k).alias("summary"))
 
 
 def summarize_items(items: DataFrame) -> DataFrame:
     """W8 over items: procedure is only named so."""
     whole = F.when(text("content") != "", F.concat_ws(". ", text("title"), "content")).otherwise(text("title"))
-    got = extractive_summary(items.withColumn("whole", whole), ["meeting_id", "pos"], "whole", "title")
-    rows = items.join(got, ["meeting_id", "pos"])
-    return rows.withColumn("extractive_summary", F.when(is_procedural("title"), "Procedural item.").otherwise(F.col("summary"))).drop("summary")
+    return items.withColumn("extractive_summary", F.when(is_procedural("title"), "Procedural item.").otherwise(summary_of(whole, "title")))

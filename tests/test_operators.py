@@ -235,6 +235,34 @@ def test_summary_of_a_known_text(spark):
     assert got == {1: "The bridge needs repair soon. Council discussed funding options for the bridge at length today.", 2: "", 3: "One only here."}
 
 
+def test_summaries_shuffle_nothing(spark):
+    text = "The bridge needs repair soon. Council discussed funding options for the bridge at length today. Weather was fine. Funding for the bridge will come from reserves."
+    best = "The bridge needs repair soon. Council discussed funding options for the bridge at length today."
+    rows = [(1, text, "Bridge Funding"), (1, "One only here.", ""), (None, text, "Bridge Funding")]
+    got = rank.extractive_summary(spark.createDataFrame(rows, "k int, b string, t string"), ["k"], "b", "t")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert set(map(tuple, got.collect())) == {(1, best), (1, "One only here."), (None, best)}
+    df = spark.createDataFrame([("m", 1, "Bridge Funding", text), ("m", 2, "Adjournment", text), ("m", 3, None, None)], "meeting_id string, pos int, title string, content string")
+    whole = rank.summarize_items(df)
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert {r["pos"]: r["extractive_summary"] for r in whole.collect()} == {1: "Bridge Funding. Funding for the bridge will come from reserves.", 2: "Procedural item.", 3: ""}
+
+
+def test_summaries_of_odd_texts(spark):
+    same = "Water tree road. "
+    texts = {
+        "ties go to the earlier": (same * 4, "", (same * 2).strip()),
+        "no words": ("1234567890 1. 1234567890 2. 1234567890 3.", "Title", ""),
+        "few words": ("1234567890 1. 1234567890 2. Bridges are built. 1234567890 3.", "", "Bridges are built."),
+        "short sentences count": ("Alpha beta gamma. Delta epsilon zeta. Road road road road. Kappa. Kappa. Kappa. Kappa. Kappa. Kappa lambda kappa.", "Kappa", "Alpha beta gamma. Kappa lambda kappa."),
+        "any spaces": ("Alpha\u00a0beta gamma.\u2003Delta epsilon zeta.\nEta theta iota.", "delta", "Alpha beta gamma. Delta epsilon zeta."),
+    }
+    df = spark.createDataFrame([(k, b, t) for k, (b, t, _) in texts.items()], "k string, b string, t string")
+    assert dict(map(tuple, rank.extractive_summary(df, ["k"], "b", "t").collect())) == {k: want for k, (_, _, want) in texts.items()}
+    broken = spark.range(1).selectExpr("id", "cast(unhex(concat(repeat(hex('Water tree road. '), 3), 'C328')) as string) b", "cast(X'C328' as string) t")
+    assert rank.extractive_summary(broken, ["id"], "b", "t").first()["summary"] == (same * 2).strip()
+
+
 def test_feeds(spark):
     meetings = spark.createDataFrame([("m", "COUNCIL", "Council", "council", "2025-06-07", True, False, None), ("f", "X", "Planning", "planning", "2025-07-01", False, False, "2025-06-30")], "meeting_id string, title string, body string, body_slug string, date string, has_summaries boolean, has_agenda boolean, deadline string")
     df = items(spark, [{"title": "Bridge", "recommendation": "r", "vote_result": "CARRIED", "description": ["Built & paid"], "time_start_ms": 0, "time_end_ms": 120_000, "speakers": who("Ann")}, {"title": "Nothing"}])
